@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, exact_dedup, mixing
+from strandlake.llm import chat, exact_dedup, html_text, mixing, packing, quality, secret_scan, tiff, token_counts
 from strandlake.plans.session import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    s = quality.score(docs, model, cut=0.3)
+    return s.select("doc.doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"), "n_crf")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.texts_as_tiff(table(spark, sf_dir, "documents"))
+    pages = tiff.tiff_pages(stored, keep=["doc_id", "n_bytes_text", "media_bytes", "media_sha256"])
+    return pages.select("doc_id", F.col("n_bytes_text").alias("n_bytes"), F.col("n_bytes").alias("payload_bytes"), F.col("pixels_sha256").alias("payload_sha256"), F.col("tail_crc32"), "media_bytes", "media_sha256", "feature", "compression", "page")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,10 +52,22 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(extra)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its e-mail addresses are replaced."""
+    c = token_counts.count_with_edits(table(spark, sf_dir, "documents"), token_counts.mail_edits)
+    return c.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
+    "op4_html": op4_html,
+    "op5_tiff": op5_tiff,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
