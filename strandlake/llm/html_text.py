@@ -9,6 +9,7 @@ whole document as context. It is fitted on synthetic pages whose layouts are kno
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in OPAQUE}
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_WHITE = re.compile("[ \\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029]+")
+#: White space other than single spaces, which may stay as they are.
+_WHITE = re.compile("[\\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029][ \\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029]*| [ \\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029]+")
 
 
 @dataclass
@@ -43,7 +46,6 @@ class Block:
     text: str
     path: tuple[str, ...]  # tags from the root, each with the words of its class, id and role
     linked: int  # characters inside links
-    tag: str
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -54,94 +56,97 @@ def blocks(page: str | None) -> list[Block]:
     """
     src = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    names: list[str] = []  # open elements
+    paths: list[tuple[str, ...]] = [()]  # of each of them, after the root's
     parts: list[str] = []
     linked = skip = anchors = 0
     home: tuple | None = None
 
     def flush() -> None:
         nonlocal linked, home
-        if parts:
-            text = _WHITE.sub(" ", "".join(parts)).strip(" ")
+        if home is not None:
+            text = parts[0] if len(parts) == 1 else "".join(parts)
+            text = _WHITE.sub(" ", text).strip(" ")
             if text:
-                path = home if home is not None else tuple(s[1] for s in stack)
-                tag = next((p.split(" ", 1)[0] for p in reversed(path) if p.split(" ", 1)[0] in BLOCK), "")
-                out.append(Block(text, path, linked, tag))
-            parts.clear()
+                out.append(Block(text, home, linked))
+        parts.clear()
         linked, home = 0, None
 
-    def add(raw: str) -> None:
-        nonlocal linked, home
-        if not raw or skip:
-            return
-        text = html.unescape(raw) if "&" in raw else raw
-        if home is None and not text.isspace():
-            home = tuple(s[1] for s in stack)
-        parts.append(text)
-        if anchors:
-            linked += len(text)
-
     def pop(n: int) -> None:
         nonlocal skip, anchors
-        while len(stack) > n:
-            name, _ = stack.pop()
+        for name in names[n:]:
             skip -= name in RAW
             anchors -= name == "a"
+        del names[n:], paths[n + 1 :]
 
-    at, end = 0, len(src)
+    def open_one(of: frozenset | set | tuple) -> int:
+        for i in range(len(names) - 1, -1, -1):
+            if names[i] in of:
+                return i
+        return -1
+
+    at, end, search = 0, len(src), _MARKUP.search
     while at < end:
-        m = _MARKUP.search(src, at)
+        m = search(src, at)
+        stop = m.start() if m is not None else end
+        if stop > at and not skip:
+            text = src[at:stop]
+            if "&" in text:
+                text = html.unescape(text)
+            if home is None and not text.isspace():
+                home = paths[-1]
+            parts.append(text)
+            if anchors:
+                linked += len(text)
         if m is None:
-            add(src[at:])
             break
-        add(src[at : m.start()])
         at = m.end()
-        name = m.group(2)
+        ended, name, attrs = m.groups()
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):  # an end tag without its start is passed over
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if found is None:
+        if ended:  # an end tag without its start is passed over
+            found = len(names) - 1 if names and names[-1] == name else open_one((name,))
+            if found < 0:
                 continue
-            if name in BLOCK or any(s[0] in BLOCK for s in stack[found:]):
-                if name not in BLOCK:  # an inline end tag does not close blocks around it
-                    continue
+            if name in BLOCK:
                 flush()
+            elif any(x in BLOCK for x in names[found:]):  # an inline end tag does not close blocks around it
+                continue
             pop(found)
             continue
         if name in BLOCK:
-            flush()
+            if parts:
+                flush()
             if name in CLOSES_P:
-                p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "table", "td", "th", "button")), None)
-                if p is not None and stack[p][0] == "p":
+                p = open_one(("p", "table", "td", "th", "button"))
+                if p >= 0 and names[p] == "p":
                     pop(p)
             if name in IMPLIED:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in IMPLIED[name]:
-                        pop(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "menu", "dl", "table", "select"):
-                        break
+                p = open_one(IMPLIED[name] | {"ul", "ol", "menu", "dl", "table", "select"})
+                if p >= 0 and names[p] in IMPLIED[name]:
+                    pop(p)
         elif name == "br":
-            add(" ")
-        attrs = m.group(3)
-        if name in VOID or attrs.endswith("/") and name not in BLOCK:
+            parts.append(" ")
+        if name in VOID or attrs and attrs.endswith("/") and name not in BLOCK:
             continue
-        words = ""
+        step = name
         if attrs:
             for a in _ATTR.finditer(attrs):
                 key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'").lower()
                 if key in ("class", "id", "role", "itemprop"):
-                    words += " " + " ".join(w for w in _SPLIT.split(value) if w)
+                    step += " " + " ".join(w for w in _SPLIT.split(value) if w)
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    words += " hidden"
-        stack.append((name, name + words))
-        skip += name in RAW
-        anchors += name == "a"
-        if name in OPAQUE:  # its content is not markup
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(src, at)
-            at = close.start() if close else end
+                    step += " hidden"
+        names.append(name)
+        paths.append((*paths[-1], step))
+        if name == "a":
+            anchors += 1
+        if name in RAW:
+            skip += 1
+            if name in OPAQUE:  # its content is not markup
+                close = _CLOSERS[name].search(src, at)
+                at = close.start() if close else end
     flush()
     return out
 
@@ -166,10 +171,10 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
         tag, *words = step.split(" ")
         for w in [tag, *(f".{x}" for x in words)]:
             if w in _PLACE:
-                v[_PLACE[w]] = 1
+                v[_PLACE[w]] = 1 if w[0] != "." else 1.5
             for hint in HINTS if w[0] == "." and w not in _PLACE else ():
                 if len(hint) > 4 and hint in w:
-                    v[_PLACE[f".{hint}"]] = 1
+                    v[_PLACE[f".{hint}"]] = 1.5
             h = zlib.crc32(w.encode())
             near = 1.0 if depth >= len(path) - 2 else 0.5
             v[N_NAMED + h % PATH_DIM] += (1 if h >> 16 & 1 else -1) * near * 0.5
@@ -189,10 +194,9 @@ def vectors(found: list[Block]) -> np.ndarray:
     sign = ((h >> np.uint64(40)) & np.uint64(1)).astype(float) * 2 - 1
     bag = np.bincount(t.word_doc * WORD_DIM + (h % np.uint64(WORD_DIM)).astype(np.int64), weights=sign, minlength=n * WORD_DIM).reshape(n, WORD_DIM)
     size = np.array([len(b.text) for b in found], float)
-    for i, b in enumerate(found):
-        x[i, : N_NAMED + PATH_DIM] = path_vector(b.path)
+    x[:, : N_NAMED + PATH_DIM] = [path_vector(b.path) for b in found]
     at = N_NAMED + PATH_DIM
-    x[:, at : at + WORD_DIM] = bag / np.sqrt(count)[:, None] * 0.5
+    x[:, at : at + WORD_DIM] = np.clip(bag / np.sqrt(count)[:, None] * 0.5, -1, 1)  # a word that repeats must not swamp the rest
     stops = np.array([b.text.count(".") + b.text.count("?") + b.text.count("!") for b in found])
     commas = np.array([b.text.count(",") for b in found])
     last = np.array([b.text[-1] in ".!?:;\"')" for b in found])
@@ -257,24 +261,25 @@ class Network:
         n = mask.sum()
         dz = (_sig(z) - y) * mask / n
         loss = float(((np.logaddexp(0, z) - y * z) * mask).sum() / n)
-        dwo, dbo = np.einsum("tbh,tb->h", both, dz), np.array(dz.sum())
+        dz = dz.astype(np.float32)
+        dwo, dbo = both.reshape(-1, 2 * hid).T @ dz.reshape(-1), np.array(dz.sum())
         dboth = dz[..., None] * self.wo
         gx, gh, gb = [], [], []
+        flat = x.reshape(-1, x.shape[2])
         for d in (0, 1):
             dout = dboth[..., d * hid : (d + 1) * hid]
-            dwx, dwh, db = np.zeros_like(self.wx[d]), np.zeros_like(self.wh[d]), np.zeros_like(self.b[d])
-            dh, dc = np.zeros((x.shape[1], hid)), np.zeros((x.shape[1], hid))
+            das, befores = np.zeros((*mask.shape, 4 * hid), np.float32), np.zeros((*mask.shape, hid), np.float32)
+            dh, dc = np.zeros((x.shape[1], hid), np.float32), np.zeros((x.shape[1], hid), np.float32)
             for t, i, f, o, u, tc, h0, c0, m in reversed(runs[d][1]):
                 dh = (dh + dout[t]) * m
                 dct = (dc + dh * o * (1 - tc**2)) * m
                 da = np.concatenate([dct * u * i * (1 - i), dct * c0 * f * (1 - f), dh * tc * o * (1 - o), dct * i * (1 - u**2)], 1)
-                dwx += x[t].T @ da
-                dwh += h0.T @ da
-                db += da.sum(0)
+                das[t], befores[t] = da, h0
                 dh, dc = da @ self.wh[d].T, dct * f
-            gx.append(dwx)
-            gh.append(dwh)
-            gb.append(db)
+            das = das.reshape(-1, 4 * hid)
+            gx.append(flat.T @ das)
+            gh.append(befores.reshape(-1, hid).T @ das)
+            gb.append(das.sum(0))
         return loss, [*gx, *gh, *gb, dwo, dbo]
 
 
@@ -286,23 +291,34 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _page(rng: np.random.Generator) -> list[tuple[Block, int]]:
+@lru_cache(maxsize=1)
+def _words() -> list[str]:
+    """A made-up vocabulary for synthetic pages."""
+    rng = random.Random(0)
+    return ["".join(rng.choices("aeioubcdfghlmnprstvéüñ", k=rng.randint(1, 9))) for _ in range(4000)]
+
+
+def _page(rng: random.Random) -> list[tuple[Block, int]]:
     """Blocks of a synthetic page with their labels."""
     return [(b, int(b.text.startswith("yes"))) for b in blocks(synthetic_page(rng))]
 
 
-def synthetic_page(rng: np.random.Generator) -> str:
+def synthetic_page(rng: random.Random) -> str:
     """A page in one of many layouts; blocks of main text begin with the word ``yes``, which no vector sees alone."""
-    num = lambda a, b: int(rng.integers(a, b))
+    num = lambda a, b: int(rng.random() * (b - a)) + a
     pick = lambda *a: a[num(0, len(a))]
-    word = lambda: "".join("aeioubcdfghlmnprstvéüñ"[i] for i in rng.integers(0, 22, num(1, 10)))
+    word = lambda: _words()[num(0, 4000)]
 
     def words(a: int, b: int) -> str:
-        w = [word() + ("," if num(0, 12) == 0 else "") for _ in range(num(a, b))]
+        w = rng.choices(_words(), k=num(a, b))
+        for i in range(num(1, 12), len(w), 12):
+            w[i] += ","
         for i in range(num(6, 14), len(w), num(6, 14)):
             w[i] = w[i].rstrip(",") + "."
         s = " ".join(w)
-        odd = num(0, 12)
+        odd = num(0, 14)
+        if odd == 3:
+            return " ".join([pick(*w)] * num(a, b))
         s = s.upper() if odd == 0 else s.replace(" ", pick("%%% ", "*** ", "$$$ ", "!! ")) if odd == 1 else s.replace(" ", " | ") if odd == 2 else s
         return s + pick(".", ".", ".", "", "!")
 
@@ -353,10 +369,11 @@ def synthetic_page(rng: np.random.Generator) -> str:
         body = "".join(f"<{item} class='{pick('comment', 'reply', 'comment-body', 'c')}'>{pick('', f'<b>{word()}</b> ')}{pick(words(3, 50), f'<p>{words(3, 60)}</p>')}</{item}>" for _ in range(num(1, 6)))
         return f"<{tag} {pick('class', 'id')}='{pick('comments', 'comment-list', 'responses comments', 'disqus', 'reader-comments')}'>{pick('', f'<h2>{words(1, 3)}</h2>', f'<h3>{words(1, 3)}</h3>')}{body}</{tag}>"
 
-    main = [f"<h1>yes {words(1, 12)}</h1>"] if num(0, 6) else []
+    title = f"<h1>yes {words(1, 12)}</h1>"
+    main = [pick(title, title, title, title, f"<header>{title}</header>")] if num(0, 6) else []
     for _ in range(pick(num(1, 4), num(3, 12), num(8, 30))):
         main.append(para())
-        if num(0, 9) == 0:
+        if num(0, 5) == 0:
             main.append(noise())
     body = "".join(main)
     wrap = num(0, 6)
@@ -387,10 +404,10 @@ def synthetic_page(rng: np.random.Generator) -> str:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1200, hidden: int = 12, rounds: int = 5, seed: int = 4) -> Network:
+def trained(pages: int = 800, hidden: int = 12, rounds: int = 8, seed: int = 4) -> Network:
     """The network fitted on ``pages`` synthetic pages with Adam."""
-    rng = np.random.default_rng(seed)
-    made = [_page(rng) for _ in range(pages)]
+    pick, rng = random.Random(seed), np.random.default_rng(seed)
+    made = [_page(pick) for _ in range(pages)]
     made = [p for p in made if p]
     for p in made:  # the mark that carries the label is not for the network
         for b, y in p:

@@ -14,8 +14,8 @@ import heapq
 import json
 import os
 import zlib
+from bisect import insort
 from collections.abc import Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.textnum import slices
+from strandlake.llm.textnum import Texts, drop_powers, slices
 from strandlake.plans.session import ship_package
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,41 +36,41 @@ def multiway_difference(sizes: list[int] | np.ndarray, k: int) -> tuple[np.ndarr
     Each item starts as a partial partition with one filled part. The two partial
     partitions with the largest spread are merged, the fullest part of one with the
     emptiest of the other, and only differences to the emptiest part are kept for the
-    next choice. Parts are trees over items, so that a merge costs O(k).
+    next choice. Only filled parts are stored, as an ascending list of (sum, tree of
+    items), so that merges of small partitions cost little.
     """
     n = len(sizes)
     part = np.zeros(n, np.int64)
     if k <= 1 or n == 0:
         return part, int(np.sum(sizes))
     left, right = [], []
-    heap = [(-int(s), i, None) for i, s in enumerate(sizes)]
+    heap = [(-int(s), i, [(int(s), i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     count = n
-
-    def dense(spread: int, i: int, held):
-        if held is not None:
-            return held
-        sums, tree = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], tree[0] = -spread, i
-        return sums, tree
-
     while len(heap) > 1:
-        sa, ta = dense(*heapq.heappop(heap))
-        sb, tb = dense(*heapq.heappop(heap))
-        sums, other = sa + sb[::-1], tb[::-1]
-        both = np.flatnonzero((ta >= 0) & (other >= 0))
-        tree = np.where(ta >= 0, ta, other)
-        left += ta[both].tolist()
-        right += other[both].tolist()
-        tree[both] = n + len(left) - len(both) + np.arange(len(both))
-        order = np.argsort(-sums, kind="stable")
-        sums, tree = sums[order], tree[order]
-        sums -= sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), count, (sums, tree)))
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) < len(b):
+            a, b = b, a
+        over = len(a) + len(b) - k
+        if over <= 0:  # each part of one meets an empty part of the other
+            if len(b) == 1:
+                insort(a, b[0])
+            else:
+                a = sorted(a + b)
+        else:  # the emptiest filled parts of one meet those of the other in opposite order
+            made = []
+            for (x, t), (y, u) in zip(a[:over], reversed(b[:over]), strict=True):
+                left.append(t)
+                right.append(u)
+                made.append((x + y, n + len(left) - 1))
+            a = sorted(a[over:] + b[over:] + made)
+        least = a[0][0] if len(a) == k else 0
+        if least:
+            a = [(x - least, t) for x, t in a]
+        heapq.heappush(heap, (-a[-1][0], count, a))
         count += 1
-    _, tree = dense(*heap[0])
-    for p, root in enumerate(tree.tolist()):
-        stack = [root] if root >= 0 else []
+    for p, (_, root) in enumerate(heap[0][2]):
+        stack = [root]
         while stack:
             x = stack.pop()
             if x < n:
@@ -81,9 +81,14 @@ def multiway_difference(sizes: list[int] | np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item; every window holds ``capacity`` at most, which no item exceeds."""
+    """Window of each item; every window holds ``capacity`` at most, which no item exceeds.
+
+    The first attempt has as few windows as the sum allows, with one in 512 to spare in
+    large batches; while the fullest window exceeds the capacity the number rises.
+    """
     total = int(np.sum(sizes))
     k = max(1, -(-total // capacity))
+    k += k // 512 + (k >= 128)
     while True:
         part, most = multiway_difference(sizes, k)
         if most <= capacity:
@@ -124,27 +129,24 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], 1 << 40)
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, which is not empty, as little-endian 32-bit bytes."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def encode(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words that lie one after another in ``raw``; none is empty."""
         end = np.cumsum(size) - 1
-        raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[raw]
         sym[end] = self.last[raw[end]]
         n = len(sym)
-        word = np.repeat(np.arange(len(words)), size)
-        nxt = np.arange(1, n + 1)
+        word = np.repeat(np.arange(len(size)), size)
+        nxt = np.arange(1, n + 2)
         nxt[end] = n  # n: no symbol
-        prev = np.arange(-1, n - 1)
+        prev = np.arange(-1, n)
         prev[end - size + 1] = n
+        nxt[n] = prev[n] = n
         none = 1 << 40
         rank = np.full(n + 1, none, np.int64)
-        inside = np.flatnonzero(nxt < n)
+        inside = np.flatnonzero(nxt[:n] < n)
         rank[inside] = self._ranks(sym[inside], sym[inside + 1])
-        alive = np.ones(n + 1, bool)
-        sym, nxt, prev = np.append(sym, 0), np.append(nxt, n), np.append(prev, n)
-        place = np.arange(n)
-        live = place[rank[:n] < none]
+        alive = np.ones(n, bool)
+        live = np.flatnonzero(rank < none)
         while len(live):
             w = word[live]  # sorted, since places are
             first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
@@ -153,94 +155,120 @@ class WordBpe:
             sym[at] = self.made[rank[at]]
             alive[right] = False
             rank[right] = none
-            after = nxt[right]
+            after, before = nxt[right], prev[at]
             nxt[at] = after
-            prev[after[after < n]] = at[after < n]
-            rank[at] = none
             has = after < n
+            prev[after[has]] = at[has]
+            rank[at] = none
             rank[at[has]] = self._ranks(sym[at[has]], sym[after[has]])
-            before = prev[at]
             has = before < n
             rank[before[has]] = self._ranks(sym[before[has]], sym[at[has]])
-            live = self._still(live, at, before, rank, none)
-        kept = alive[:n]
-        ids = sym[:n][kept].astype("<u4").tobytes()
-        upto = np.cumsum(np.bincount(word[kept], minlength=len(words))) * 4
-        return [ids[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
-
-    @staticmethod
-    def _still(live, at, before, rank, none):
-        """Places that can merge: a merge may have given its neighbours a pair that had none."""
-        every = np.concatenate([live, at, before[before < len(rank) - 1]])
-        every = np.unique(every[rank[every] < none])
-        return every
+            live = np.concatenate([live, at, before[has]])  # a merge may give its neighbours a pair that had none
+            live = live[rank[live] < none]
+            live.sort()
+            live = live[np.append(True, live[1:] != live[:-1])] if len(live) else live
+        return sym[alive], np.bincount(word[alive], minlength=len(size))
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer parts words at white space before anything else, so ids of the pieces
-    between ASCII white space join to the ids of the text. Pieces of Latin letters are
-    folded and merged here, many at a time; every other piece goes to the tokenizer.
-    Ids of pieces are remembered, in tables of bounded size.
+    between ASCII white space join to the ids of the text. Each distinct piece of a batch
+    is looked up once. Pieces of Latin letters that are not known are folded and merged
+    here, many at a time; every other piece goes to the tokenizer. Known pieces are kept
+    in a table of bounded size.
     """
 
     #: Fixed value: how the tokenizer parts a piece.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-        self.bpe, self.split = None, regex.compile(self.PATTERN).findall
+        self.known: dict[bytes, bytes] = {}
+        self.bpe = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x.get("type") for x in spec["normalizer"].get("normalizers", [])]
         first = spec["pre_tokenizer"].get("pretokenizers", [{}])[0]
         if steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == self.PATTERN and spec["model"].get("end_of_word_suffix"):
             self.bpe = WordBpe(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
-        self.latin = regex.compile(r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u00ff\u0100-\u012f\u0131-\u017f]+").fullmatch
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        new: dict[str, bytes] = {}
-        plain, rest = [], []
-        for w in missing:
-            (plain if self.bpe is not None and self.latin(w) and "<|" not in w else rest).append(w)
-        split, parts = self.split, self.parts
-        cut = [split(normalize("NFC", w).lower()) for w in plain]
-        unseen = list({p for c in cut for p in c if p not in parts})
-        for i in range(0, len(unseen), 20_000):
-            some = unseen[i : i + 20_000]
-            parts.update(zip(some, self.bpe.encode([p.encode() for p in some]), strict=True))
-        for w, c in zip(plain, cut, strict=True):
-            new[w] = parts[c[0]] if len(c) == 1 else b"".join([parts[p] for p in c])
+
+    #: Bytes of pieces that fold and part alike here and there: ASCII but for apostrophe and less-than sign, and Latin letters of two bytes.
+    _EASY = np.zeros(256, bool)
+    _EASY[33:127] = _EASY[0x80:0xC0] = _EASY[0xC3] = True
+    _EASY[[0x27, 0x3C]] = False
+    #: Letters, digits (which stand alone) and other characters.
+    _KIND = np.full(256, 3, np.uint8)
+    _KIND[97:123] = _KIND[0x80:0xC0] = _KIND[0xC3] = 1
+    _KIND[48:58] = 2
+
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        line = b" ".join(missing).lower()
+        buf = np.frombuffer(line, np.uint8).copy()
+        size = np.fromiter(map(len, missing), np.int64, len(missing))
+        begin = np.cumsum(size + 1) - size - 1
+        second = np.append(False, buf[:-1] == 0xC3)
+        hard = ~self._EASY[buf] | (second & ((buf == 0x97) | (buf == 0xB7))) | ((buf >= 0x80) & (buf < 0xC0) & ~second)
+        buf[second & (buf <= 0x9E)] += 0x20
+        hard[begin[1:] - 1] = False
+        easy = ~np.logical_or.reduceat(hard, begin) if self.bpe is not None else np.zeros(len(missing), bool)
+        inside = np.repeat(easy, size + 1)[:-1]
+        inside[begin[1:] - 1] = False
+        kind = self._KIND[buf]
+        starts = np.append(True, kind[1:] != kind[:-1]) | (kind == 2)
+        starts[begin] = True
+        raw, starts = buf[inside], starts[inside]
+        new: dict[bytes, bytes] = {}
+        if len(raw):
+            at = np.flatnonzero(starts)
+            ids, count = self.bpe.encode(raw, np.diff(np.append(at, len(raw))))
+            word = np.repeat(np.arange(int(easy.sum())), size[easy])[at]
+            upto = (np.cumsum(np.bincount(word, weights=count)).astype(np.int64) * 4).tolist()
+            data = ids.astype("<u4").tobytes()
+            new = {w: data[i:j] for w, i, j in zip([missing[i] for i in np.flatnonzero(easy).tolist()], [0, *upto], upto, strict=False)}
+        rest = [missing[i] for i in np.flatnonzero(~easy).tolist()]
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
                 new[w] = np.array(e.ids, "<u4").tobytes()
-        if len(parts) > self.remember:
-            parts.clear()
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
+        t = Texts(texts)
+        t.words()
+        if not len(t.word_start):
+            return [b""] * t.n
+        h = t.word_hashes()
+        order = np.argsort(h, kind="stable")
+        fresh = np.append(True, h[order[1:]] != h[order[:-1]])
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        lead = order[fresh]
+        data = t.data
+        words = [data[a:b] for a, b in zip(t.word_start[lead].tolist(), t.word_end[lead].tolist(), strict=True)]
+        drop_powers()
         if len(self.known) > self.remember:
-            self.known = {"": b""}
-        get = self.known.get
-        found = [list(map(get, words)) for words in split]
-        missing = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
-        if missing:
-            new = self._learn(list(missing))
-            for i, got in enumerate(found):
-                if None in got:
-                    found[i] = [new[w] if g is None else g for w, g in zip(split[i], got, strict=True)]
+            self.known.clear()
+        got = list(map(self.known.get, words))
+        if missing := [w for w, g in zip(words, got, strict=True) if g is None]:
+            new = {}
+            for i in range(0, len(missing), 100_000):
+                new |= self._learn(missing[i : i + 100_000])
+            got = [new[w] if g is None else g for w, g in zip(words, got, strict=True)]
             self.known.update((w, v) for w, v in new.items() if len(w) <= 64)
-        return list(map(b"".join, found))
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        begin = np.cumsum(size) - size
+        count = size[which]
+        upto = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
+        edge = upto[t.words_from].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -289,7 +317,7 @@ def _packer(path: str, end_id: int, capacity: int, longest: int, batch: int):
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 4 << 20):
             ids = b.column(0).to_pylist()
             for doc, raw in zip(ids, enc.encode(b.column(1).to_pylist()), strict=True):
                 raw += end
@@ -310,7 +338,7 @@ def _packer(path: str, end_id: int, capacity: int, longest: int, batch: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, longest: int = 1024, batch: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, longest: int = 1024, batch: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer``: path of a tokenizers file whose pre-tokenizer parts words at white

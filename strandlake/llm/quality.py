@@ -104,7 +104,7 @@ def bound_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     The share of unlabelled scores above a cut is at least the prior times that of
     positives, so the least ratio over cuts bounds the prior.
     """
-    cuts = np.quantile(positive, np.linspace(0.02, 0.9, 45))
+    cuts = np.quantile(positive, np.linspace(0.02, 0.5, 25))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
@@ -186,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
     if 0 < good < total:
         prior = good / total
     elif len(positive) and len(unlabelled):
-        first = fit(positive, unlabelled, 0.5, **options)
-        prior = bound_prior(first.logits(positive), first.logits(unlabelled))
+        first = fit(positive[::2], unlabelled, 0.5, **options)
+        prior = bound_prior(first.logits(positive[1::2] if len(positive) > 1 else positive), first.logits(unlabelled))
     else:
         prior = 0.5
     return fit(positive, unlabelled, float(np.clip(prior, 0.02, 0.98)), **options)

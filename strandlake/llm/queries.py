@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, exact_dedup, html_text, mixing, packing, quality, secret_scan, tiff, token_counts
+from strandlake.llm import chat, exact_dedup, html_text, mixing, near_dedup, packing, quality, secret_scan, tiff, token_counts
 from strandlake.plans.session import table
 
 
@@ -23,6 +23,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"), "n_crf")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -61,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
+    "op3_near_dedup": op3_near_dedup,
     "op4_html": op4_html,
     "op5_tiff": op5_tiff,
     "op6_packing": op6_packing,
