@@ -30,9 +30,14 @@ _DB = f"b AS (SELECT item_id AS id, {_SEQ} AS seq FROM benchmark)"
 
 
 def _windows(source: str, k: int, name: str, n_too: bool = False, short: int = 0) -> str:
-    """SQL: (id, i, kmer) of all windows of ``source``; windows with n are left out unless ``n_too``."""
+    """SQL: (id, i, kmer) of all windows of ``source``; windows with n are left out unless ``n_too``.
+
+    Sequences are first cut into overlapping parts of 500 windows, so that the work stays linear.
+    """
     keep = "" if n_too else " WHERE NOT contains(kmer, 'n')"
-    return f"{name} AS (SELECT id, i, kmer FROM (SELECT id, i, substr(seq, i, {k}) AS kmer FROM {source}, unnest(range(1, greatest(length(seq) - {k} + 2 - {short}, 1))) u(i)){keep})"
+    parts = f"SELECT id, c, substr(seq, c * 500 + 1, 500 + {k} - 1) AS s FROM (SELECT id, substr(seq, 1, greatest(length(seq) - {short}, 0)) AS seq, unnest(range(0, length(seq) // 500 + 1)) AS c FROM {source})"
+    rows = f"SELECT id, c, s, unnest(range(1, least(500, length(s) - {k} + 1) + 1)) AS o FROM ({parts})"
+    return f"{name} AS (SELECT id, i, kmer FROM (SELECT id, c * 500 + o AS i, substr(s, o, {k}) AS kmer FROM ({rows})){keep})"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -170,11 +175,11 @@ def n50(spark, sf_dir):
 
 @query(
     f"""WITH r AS (SELECT source AS key, {_SEQ} AS seq FROM documents),
-s AS (SELECT key, count(*) AS n, min(seq) AS only FROM r GROUP BY key),
+s AS (SELECT key, count(*) AS n, min(seq) AS single FROM r GROUP BY key),
 c AS (SELECT key, i, ch FROM (SELECT key, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS i FROM r WHERE seq <> '')),
 v AS (SELECT key, i, count(*) FILTER (ch = 'a') AS a, count(*) FILTER (ch = 't') AS t, count(*) FILTER (ch = 'g') AS g, count(*) FILTER (ch = 'c') AS c FROM c GROUP BY 1, 2),
 m AS (SELECT key, string_agg(CASE greatest(a, t, g, c) WHEN a THEN 'a' WHEN t THEN 't' WHEN g THEN 'g' ELSE 'c' END, '' ORDER BY i) AS merged FROM v GROUP BY key)
-SELECT s.key, s.n, CASE WHEN s.n = 1 THEN only ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN m ON s.key = m.key"""
+SELECT s.key, s.n, CASE WHEN s.n = 1 THEN single ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN m ON s.key = m.key"""
 )
 def consensus(spark, sf_dir):
     r = table(spark, sf_dir, "documents").select("source", sequences.from_text(F.col("text")).alias("seq"))
@@ -304,11 +309,11 @@ def seed_join(spark, sf_dir):
 @query(
     f"""WITH {_MATES}, h AS (SELECT substr(seq, 1, 16) || substr(reverse(seq), 1, 16) AS h, seq FROM p WHERE length(seq) >= 16),
 e AS (SELECT h AS hash, seq FROM h UNION ALL SELECT substr(h, 1, i - 1) || ch || substr(h, i + 1), seq FROM h, unnest(range(1, 33)) u(i), {_BASES} WHERE ch <> substr(h, i, 1)),
-s AS (SELECT hash AS key, count(*) AS n, min(seq) AS only FROM e GROUP BY hash), r AS (SELECT hash AS key, seq FROM e SEMI JOIN s ON e.hash = s.key AND s.n > 1),
+s AS (SELECT hash AS key, count(*) AS n, min(seq) AS single FROM e GROUP BY hash), r AS (SELECT hash AS key, seq FROM e SEMI JOIN s ON e.hash = s.key AND s.n > 1),
 c AS (SELECT key, i, ch FROM (SELECT key, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS i FROM r WHERE seq <> '')),
 v AS (SELECT key, i, count(*) FILTER (ch = 'a') AS a, count(*) FILTER (ch = 't') AS t, count(*) FILTER (ch = 'g') AS g, count(*) FILTER (ch = 'c') AS c FROM c GROUP BY 1, 2),
 m AS (SELECT key, string_agg(CASE greatest(a, t, g, c) WHEN a THEN 'a' WHEN t THEN 't' WHEN g THEN 'g' ELSE 'c' END, '' ORDER BY i) AS merged FROM v GROUP BY key)
-SELECT s.key AS hash, s.n, CASE WHEN s.n = 1 THEN only ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN m ON s.key = m.key"""
+SELECT s.key AS hash, s.n, CASE WHEN s.n = 1 THEN single ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN m ON s.key = m.key"""
 )
 def dereplicate(spark, sf_dir):
     return recipes.dereplicate(_mates(spark, sf_dir), "conv_id", "turn", "seq", 1)

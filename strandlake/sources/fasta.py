@@ -112,6 +112,21 @@ def read_fastq(spark: SparkSession, path: str | list[str], fold: bool = True, wi
     return r.select(string_hash(F.col("file")).alias("file_hash"), *out) if with_file else r.select(*out)
 
 
+def read_fastq_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """block, reads: one row per partition of FASTQ files with an array of its (id, d, seq)."""
+    return blocks(read_fastq(spark, path))
+
+
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, seq: whole names, mates told apart as ``id/d``; one row per record of a file or folder."""
+    r = read_fasta(spark, path)
+    return r.select(F.when(F.col("d") > 0, F.concat("id", F.lit("/"), "d")).otherwise(F.col("id")).alias("name"), "seq")
+
+
+def count_sequences(spark: SparkSession, path: str | list[str]) -> int:
+    return read_fasta(spark, path).count()
+
+
 def fasta_text(key: Column | None, value: Column) -> Column:
     """``>key`` and the value on a line of its own; a null key gives ``>value``, two nulls give null."""
     if key is None:
@@ -119,9 +134,15 @@ def fasta_text(key: Column | None, value: Column) -> Column:
     return F.when(key.isNotNull() & value.isNotNull(), F.concat(F.lit(">"), key, F.lit("\n"), value)).when(key.isNotNull(), F.concat(F.lit(">"), key)).otherwise(F.when(value.isNotNull(), F.concat(F.lit(">"), value)))
 
 
-def write_fasta(df: DataFrame, path: str, key: str = "id", value: str = "seq", compression: str | None = None, mode: str = "errorifexists") -> None:
-    """One file per partition; ``compression``: gzip or bzip2. Rows with neither key nor value write nothing."""
-    t = df.select(fasta_text(F.col(key).cast("string"), F.col(value).cast("string")).alias("value")).where("value is not null")
+def write_fasta(df: DataFrame, path: str, key: str = "id", value: str = "seq", compression: str | None = None, mode: str = "errorifexists", with_length: bool = False) -> None:
+    """One file per partition; ``compression``: gzip or bzip2; ``with_length`` adds `` length=N`` to headers.
+
+    Rows with neither key nor value write nothing.
+    """
+    name = F.col(key).cast("string")
+    if with_length:
+        name = F.concat(name, F.lit(" length="), F.length(value).cast("string"))
+    t = df.select(fasta_text(name, F.col(value).cast("string")).alias("value")).where("value is not null")
     t.write.mode(mode).text(path, compression=compression)
 
 

@@ -73,3 +73,13 @@ def test_streamed_counts(spark, tmp_path):
         assert {(r.kmer, r.cnt) for r in spark.table("kc").collect()} == {("acg", 1), ("cgt", 2), ("gta", 1)}
     finally:
         q.stop()
+
+
+def test_whole_files(spark, tmp_path):
+    df = spark.createDataFrame([("a/1", "acgt"), ("b", "gg")], "id string, seq string")
+    fasta.write_fasta(df, str(tmp_path / "w"), with_length=True)
+    assert {(r.name, r.seq) for r in fasta.read_sequences(spark, str(tmp_path / "w")).collect()} == {("a/1", "acgt"), ("b", "gg")}
+    assert fasta.count_sequences(spark, str(tmp_path / "w")) == 2
+    assert {r.header for r in fasta.read_fasta(spark, str(tmp_path / "w")).collect()} == {" length=4", " length=2"}
+    (tmp_path / "b.fastq").write_text("@x/1\nAC\n+\n!!\n@y\nGT\n+\n!!\n")
+    assert fasta.read_fastq_blocks(spark, str(tmp_path / "b.fastq")).selectExpr("sum(size(reads)) as n").first().n == 2
