@@ -312,8 +312,8 @@ e AS (SELECT h AS hash, seq FROM h UNION ALL SELECT substr(h, 1, i - 1) || ch ||
 s AS (SELECT hash AS key, count(*) AS n, min(seq) AS single FROM e GROUP BY hash), r AS (SELECT hash AS key, seq FROM e SEMI JOIN s ON e.hash = s.key AND s.n > 1),
 c AS (SELECT key, i, ch FROM (SELECT key, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS i FROM r WHERE seq <> '')),
 v AS (SELECT key, i, count(*) FILTER (ch = 'a') AS a, count(*) FILTER (ch = 't') AS t, count(*) FILTER (ch = 'g') AS g, count(*) FILTER (ch = 'c') AS c FROM c GROUP BY 1, 2),
-m AS (SELECT key, string_agg(CASE greatest(a, t, g, c) WHEN a THEN 'a' WHEN t THEN 't' WHEN g THEN 'g' ELSE 'c' END, '' ORDER BY i) AS merged FROM v GROUP BY key)
-SELECT s.key AS hash, s.n, CASE WHEN s.n = 1 THEN single ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN m ON s.key = m.key"""
+w AS (SELECT key, string_agg(CASE greatest(a, t, g, c) WHEN a THEN 'a' WHEN t THEN 't' WHEN g THEN 'g' ELSE 'c' END, '' ORDER BY i) AS merged FROM v GROUP BY key)
+SELECT s.key AS hash, s.n, CASE WHEN s.n = 1 THEN single ELSE coalesce(merged, '') END AS seq FROM s LEFT JOIN w ON s.key = w.key"""
 )
 def dereplicate(spark, sf_dir):
     return recipes.dereplicate(_mates(spark, sf_dir), "conv_id", "turn", "seq", 1)
