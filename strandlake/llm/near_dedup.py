@@ -7,18 +7,18 @@
 2. Each document's weighted shingles are sampled consistently; samples form bands, and
    documents that share a band are candidates. Copies of one shingle set are one node.
 3. In each bucket every node is first compared with the bucket's least node. Buckets that
-   then still hold more than one component compare growing sets of pivots, by hash, with
-   all nodes of other components, until each node has been a pivot or one component is
-   left. Pairs within a component need no comparison, so no group emits all its pairs and
-   no link between components is left out.
-4. Pairs whose samples could belong to similar texts are verified on the whole texts by
-   weighted Jaccard similarity. Components are found by hooking and pointer jumping on
+   then still hold more than one component are compared by samples, in blocks of bounded
+   size that a task holds as one matrix; only pairs of different components whose samples
+   allow the similarity leave it. No group emits all its pairs, and no link between
+   components is left out.
+4. Candidate pairs are verified by the weighted Jaccard similarity of whole texts. Components are found by hooking and pointer jumping on
    tables in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +252,7 @@ def _fingerprints(t: Texts, doc: np.ndarray, key: np.ndarray, tf: np.ndarray) ->
 
 def _signed(weights: Weights, sampler: Sampler, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, 384 << 10):  # so that the arrays of a sample stay in cache
             t, doc, key, tf = keyed(b.column(2).to_pylist(), n)
             w = weights(key, tf)
             s = sampler.samples(doc, key, w, t.n)
@@ -266,34 +266,114 @@ def _signed(weights: Weights, sampler: Sampler, rows: int, n: int):
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (keys sorted, weights): sum of minima over sum of maxima."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum())
-    top = float(a[1].sum() + b[1].sum()) - low
-    return low / top if top else 1.0
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = b[0][at] == a[0]
+    low = float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
+    return low / (float(a[1].sum() + b[1].sum()) - low)
 
 
-def _verified(weights: Weights, least: float, n: int):
-    def one(text: str | None) -> tuple[str, tuple[np.ndarray, np.ndarray]]:
-        t, doc, key, tf = keyed([text], n)
-        return _fingerprints(t, doc, key, tf)[0], (key, weights(key, tf))
+def _vectors(weights: Weights, n: int):
+    """Rows (fp, vector): a text's sorted keys, then their weights, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple] = {}
-        for b in slices(batches, 3, 8 << 20):
-            out = []
-            for a, z, ta, tz in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if a not in last:
-                    if len(last) > 64:
-                        last.clear()
-                    fp, v = one(ta)
-                    if fp != a:  # another row with this id
-                        continue
-                    last[a] = v
-                fp, v = one(tz)
-                if fp == z and similarity(last[a], v) >= least - 1e-9:
-                    out.append((a, z))
+        for b in slices(batches, 1):
+            t, doc, key, tf = keyed(b.column(1).to_pylist(), n)
+            w, edge = weights(key, tf), np.searchsorted(doc, np.arange(t.n + 1))
+            made = [key[i:j].astype("<u8").tobytes() + w[i:j].astype("<f8").tobytes() for i, j in zip(edge, edge[1:], strict=False)]
+            yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], names=["fp", "vector"])
+
+    return run
+
+
+def _vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 16
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f8", n, 8 * n)
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.fromiter((similarity(_vector(x.as_buffer()), _vector(y.as_buffer())) >= least - 1e-9 for x, y in zip(b.column(2), b.column(3), strict=True)), bool, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return run
+
+
+def least_agreement(k: int, similar: float, miss: float = 1e-3) -> int:
+    """The number of ``k`` samples in which a pair of that similarity agrees but for a share ``miss`` of pairs."""
+    tail, a = 0.0, 0
+    while True:
+        tail += math.comb(k, a) * similar**a * (1 - similar) ** (k - a)
+        if tail > miss:
+            return a
+        a += 1
+
+
+def _close_pairs(agree: int, similar: float, chunk: int = 64):
+    """Rows (a, b): nodes of different labels in one run of rows whose samples and weights allow the similarity.
+
+    Rows come sorted by run (band, key, i, j); ``side`` 0 and 1 are two blocks that are
+    compared with each other, side 2 a block that is compared with itself. Nodes of the
+    commonest label are compared with other labels' nodes only.
+    """
+
+    def pairs(side: np.ndarray, fp: list[str], label: np.ndarray, weight: np.ndarray, s: np.ndarray) -> Iterator[tuple[str, str]]:
+        names, label = np.unique(label, return_inverse=True)
+        if len(names) < 2:
+            return
+        main = label == np.bincount(label).argmax()
+        left, right = (side != 1), (side != 0)
+        todo = [(np.flatnonzero(left & ~main), np.flatnonzero(right))]
+        if side[0] != 2:
+            todo.append((np.flatnonzero(left & main), np.flatnonzero(right & ~main)))
+        for x, y in todo:
+            if not len(y):
+                continue
+            sy, ly, wy = s[y], label[y], weight[y]
+            for c in range(0, len(x), chunk):
+                z = x[c : c + chunk]
+                ok = (label[z][:, None] != ly) & (np.minimum(weight[z][:, None], wy) >= (similar - 1e-6) * np.maximum(weight[z][:, None], wy))
+                some = np.flatnonzero(ok.any(0))
+                if not len(some):
+                    continue
+                near = ok[:, some] & ((s[z][:, None, :] == sy[some]).sum(-1) >= agree)
+                for i, j in zip(*(q.tolist() for q in np.nonzero(near)), strict=True):
+                    p, q = fp[z[i]], fp[y[some[j]]]
+                    yield (p, q) if p < q else (q, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], set()
+
+        def close() -> None:
+            t = pa.Table.from_batches(held)
+            n = t.num_rows
+            samples = t.column("samples").combine_chunks().flatten().to_numpy().reshape(n, -1)
+            out.update(pairs(t.column("side").to_numpy(), t.column("fp").to_pylist(), np.array(t.column("label").to_pylist()), t.column("weight").to_numpy(), samples))
+
+        def ready() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["a", "b"])
+            out.clear()
+            return pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["a", "b"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            edge = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for i, j in zip([0, *edge], [*edge, len(keys)], strict=True):
+                if j <= i:
+                    continue
+                if keys[i] != at and held:
+                    close()
+                    held = []
+                at = keys[i]
+                held.append(b.slice(i, j - i))
+            if len(out) > 50_000:
+                yield ready()
+        if held:
+            close()
+        yield ready()
 
     return run
 
@@ -335,15 +415,14 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, share: float = 0.01, least_common: int = 50, slope: float = 0.1, pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, share: float = 0.01, least_common: int = 50, slope: float = 0.1, block: int = 4096) -> DataFrame:
     """One row per row of ``docs``: id, sha (sha256 of the text), class_id, class_size, kept.
 
     Texts are linked when the weighted Jaccard similarity of their shingles of ``n`` words
     is ``similar`` or more; a class is a set of texts connected by links and has its
     smallest id as class id. ``kept`` marks one row of each class, the one with the
     smallest (id, sha). Shingles in more than max(``least_common``, ``share`` of all)
-    documents weigh less. ``pivots``: size of the first set of pivots of a bucket; later
-    sets are four times as large each.
+    documents weigh less. ``block``: nodes of a bucket that are compared together in a task.
 
     Null texts count as empty. Texts without words form one class; a text of fewer words
     than ``n`` is one shingle. A null id is the largest; a class of such rows alone has a
@@ -367,35 +446,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = member.select("fp").distinct()
     light = written(nodes.join(involved, "fp", "left_semi").select("fp", "rep", "sha", "weight", "samples"), "involved")
     wanted = light.select(F.col("rep").alias("id"), "sha", "fp")
-    texts = written(d.join(wanted, "id").where(F.sha2("text", 256) == F.col("sha")).select("fp", "text").dropDuplicates(["fp"]), "texts")
-
-    agree = bands * rows // 2  # of as many samples, half; a similar pair has four fifths on average
+    texts = d.join(wanted, "id").where(F.sha2("text", 256) == F.col("sha")).select("fp", "text").dropDuplicates(["fp"])
+    vectors = written(texts.mapInArrow(_vectors(weights, n), "fp string, vector binary"), "vectors")
+    agree = least_agreement(bands * rows, similar)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        a = light.select(F.col("fp").alias("a"), F.col("weight").alias("wa"), F.col("samples").alias("sa"))
-        b = light.select(F.col("fp").alias("b"), F.col("weight").alias("wb"), F.col("samples").alias("sb"))
-        p = pairs.distinct().join(a, "a").join(b, "b")
-        p = p.where(F.least("wa", "wb") >= (similar - 1e-6) * F.greatest("wa", "wb"))
-        p = p.where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= agree).select("a", "b")
-        p = p.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
-        return p.select("a", "b", "ta", "tb").mapInArrow(_verified(weights, similar, n), "a string, b string")
+    def verified(pairs: DataFrame) -> DataFrame:
+        p = pairs.distinct()
+        p = p.join(vectors.select(F.col("fp").alias("b"), F.col("vector").alias("vb")), "b").join(vectors.select(F.col("fp").alias("a"), F.col("vector").alias("va")), "a")
+        return p.select("a", "b", "va", "vb").mapInArrow(_verified(similar), "a string, b string")
 
     labels = written(light.select("fp", F.col("fp").alias("label")), "labels")
-    found = linked(member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")))
-    labels = join_components(labels, found)
-    done, size = 0, pivots
-    while True:
-        # Pivots of this round: hashes from done/m to (done + size)/m of the unit interval.
-        m = member.join(labels, "fp")
-        still = m.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key")
-        m = written(m.where(F.col("m") > done).join(still, ["band", "key"]).select("band", "key", "fp", "label", "m", F.pmod(F.xxhash64("fp"), F.lit(1 << 30)).alias("h")), "open")
-        if m.isEmpty():
-            break
-        unit = (1 << 30) / F.col("m")
-        p = m.where((F.col("h") >= done * unit) & (F.col("h") < (done + size) * unit)).select("band", "key", F.col("fp").alias("p"), F.col("label").alias("lp"))
-        pairs = m.join(p, ["band", "key"]).where("label <> lp").select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
-        labels = join_components(labels, linked(pairs))
-        done, size = done + size, size * 4
+    labels = join_components(labels, verified(member.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))))
+
+    # Buckets that still hold several components, in blocks that a task can hold.
+    m = member.join(labels, "fp")
+    still = m.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key")
+    m = m.join(still, ["band", "key"]).join(light.select("fp", "weight", "samples"), "fp")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    m = m.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    runs = m.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "fp", "label", "weight", "samples")
+    runs = runs.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    labels = join_components(labels, verified(runs.mapInArrow(_close_pairs(agree, similar), "a string, b string")))
 
     named = nodes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     rows_ = signed.select("id", "sha", "fp").groupBy("id", "sha", "fp").agg(F.count(F.lit(1)).alias("n"))

@@ -65,8 +65,8 @@ def corpus(seed=0):
 def test_classes_against_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for pivots in (16, 1):
-        assert classes(near_dedup.near_duplicates(df, pivots=pivots)) == brute(rows)
+    for block in (4096, 3):
+        assert classes(near_dedup.near_duplicates(df, block=block)) == brute(rows)
 
 
 def test_common_shingles_weigh_less(spark):
