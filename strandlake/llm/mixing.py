@@ -11,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.plans.session import cut_lineage
+
+#: The table of targets is broadcast up to so many sources and bytes of their names, which are counted first.
+BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
+#: Beyond that it is joined by source and salt, each source dealt to so many tasks.
+SALTS = 16
 #: Fixed value: what counts as a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -44,7 +50,8 @@ def targets(totals: DataFrame, cycle: int = 3, most: float = 3.0) -> DataFrame:
     everything = Window.partitionBy()
     w = w.withColumns({"left": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weights": F.sum("weight").over(after)})
     w = w.withColumn("level", F.col("left") / F.col("weights"))
-    w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
+    w = w.withColumn("place", F.row_number().over(by_ratio))
+    w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything)["level"])
     return w.select("source", "source_size", "weight", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))).alias("target"))
 
 
@@ -58,8 +65,15 @@ def mixed(docs: DataFrame, seed: int = 8, id_col: str = "doc_id", source_col: st
     src, key = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`")
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), src.alias("source"), unit_hash(key, seed).alias("u"), words(F.col(f"`{text_col}`")).alias("size"))
     totals = docs.select(src.alias("source"), words(F.col(f"`{text_col}`")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(totals, cycle, most).withColumnRenamed("source", "goal_source")
-    j = sized.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
+    goal = cut_lineage(targets(totals, cycle, most).withColumnRenamed("source", "goal_source"))
+    n, size = goal.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("goal_source")), F.lit(0))).first()
+    same = F.col("source").eqNullSafe(F.col("goal_source"))
+    if n <= BROADCAST_SOURCES and size <= BROADCAST_BYTES:
+        j = sized.join(F.broadcast(goal), same)
+    else:
+        sized = sized.withColumn("salt", F.floor(F.col("u") * SALTS).cast("int"))
+        goal = goal.withColumn("goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = sized.join(goal, same & (F.col("salt") == F.col("goal_salt")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     j = j.withColumn("rate", rate)
     copies = F.floor("rate") + F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)

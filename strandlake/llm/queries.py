@@ -90,7 +90,7 @@ w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1
 r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
   AS left_over, (sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weights FROM r),
-v AS (SELECT left_over / weights AS level FROM l WHERE left_over / weights <= ratio ORDER BY ratio, level LIMIT 1),
+v AS (SELECT left_over / weights AS level FROM l WHERE left_over / weights <= ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(cap, level * weight) END AS target FROM l, v),
 j AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
   ('0x' || substr(sha256('8:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u
