@@ -8,10 +8,10 @@
    documents that share a band are candidates. Copies of one shingle set are one node.
 3. In each bucket every node is first compared with the bucket's least node. Buckets that
    then still hold more than one component are compared by samples, in blocks of bounded
-   size that a task holds as one matrix; only pairs of different components whose samples
-   allow the similarity leave it. No group emits all its pairs, and no link between
-   components is left out.
-4. Candidate pairs are verified by the weighted Jaccard similarity of whole texts. Components are found by hooking and pointer jumping on
+   size that a task holds as one matrix, and pairs of different components are verified
+   there; only links that join components leave it. No group emits all its pairs, and no
+   link between components is left out.
+4. Every link is verified by the weighted Jaccard similarity of whole texts. Components are found by hooking and pointer jumping on
    tables in the shared folder.
 """
 
@@ -312,18 +312,30 @@ def least_agreement(k: int, similar: float, miss: float = 1e-3) -> int:
         a += 1
 
 
-def _close_pairs(agree: int, similar: float, chunk: int = 64):
-    """Rows (a, b): nodes of different labels in one run of rows whose samples and weights allow the similarity.
+def _block_links(agree: int, similar: float, chunk: int = 64):
+    """Rows (a, b): links that join different labels' nodes of one run of rows.
+
+    Pairs whose samples and weights allow the similarity are verified in the task, those
+    that agree most first; a pair that other links of the run have joined already is
+    passed over, so a run gives fewer links than it has labels.
 
     Rows come sorted by run (band, key, i, j); ``side`` 0 and 1 are two blocks that are
     compared with each other, side 2 a block that is compared with itself. Nodes of the
     commonest label are compared with other labels' nodes only.
     """
 
-    def pairs(side: np.ndarray, fp: list[str], label: np.ndarray, weight: np.ndarray, s: np.ndarray) -> Iterator[tuple[str, str]]:
+    def links(side: np.ndarray, fp: list[str], label: np.ndarray, weight: np.ndarray, s: np.ndarray, vector: pa.Array) -> Iterator[tuple[str, str]]:
         names, label = np.unique(label, return_inverse=True)
         if len(names) < 2:
             return
+        parent = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         main = label == np.bincount(label).argmax()
         left, right = (side != 1), (side != 0)
         todo = [(np.flatnonzero(left & ~main), np.flatnonzero(right))]
@@ -332,17 +344,24 @@ def _close_pairs(agree: int, similar: float, chunk: int = 64):
         for x, y in todo:
             if not len(y):
                 continue
-            sy, ly, wy = s[y], label[y], weight[y]
+            sy, wy = s[y], weight[y]
             for c in range(0, len(x), chunk):
                 z = x[c : c + chunk]
-                ok = (label[z][:, None] != ly) & (np.minimum(weight[z][:, None], wy) >= (similar - 1e-6) * np.maximum(weight[z][:, None], wy))
+                now = np.array([root(i) for i in range(len(names))])[label]
+                ok = (now[z][:, None] != now[y]) & (np.minimum(weight[z][:, None], wy) >= (similar - 1e-6) * np.maximum(weight[z][:, None], wy))
+                if side[0] == 2:  # each pair of nodes outside the commonest label once
+                    ok &= main[y] | (y > z[:, None])
                 some = np.flatnonzero(ok.any(0))
                 if not len(some):
                     continue
-                near = ok[:, some] & ((s[z][:, None, :] == sy[some]).sum(-1) >= agree)
-                for i, j in zip(*(q.tolist() for q in np.nonzero(near)), strict=True):
-                    p, q = fp[z[i]], fp[y[some[j]]]
-                    yield (p, q) if p < q else (q, p)
+                agreed = (s[z][:, None, :] == sy[some]).sum(-1)
+                i, j = np.nonzero(ok[:, some] & (agreed >= agree))
+                for k in np.argsort(-agreed[i, j], kind="stable").tolist():
+                    p, q = int(z[i[k]]), int(y[some[j[k]]])
+                    rp, rq = root(label[p]), root(label[q])
+                    if rp != rq and similarity(_vector(vector[p].as_buffer()), _vector(vector[q].as_buffer())) >= similar - 1e-9:
+                        parent[max(rp, rq)] = min(rp, rq)
+                        yield (fp[p], fp[q]) if fp[p] < fp[q] else (fp[q], fp[p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], set()
@@ -351,7 +370,7 @@ def _close_pairs(agree: int, similar: float, chunk: int = 64):
             t = pa.Table.from_batches(held)
             n = t.num_rows
             samples = t.column("samples").combine_chunks().flatten().to_numpy().reshape(n, -1)
-            out.update(pairs(t.column("side").to_numpy(), t.column("fp").to_pylist(), np.array(t.column("label").to_pylist()), t.column("weight").to_numpy(), samples))
+            out.update(links(t.column("side").to_numpy(), t.column("fp").to_pylist(), np.array(t.column("label").to_pylist()), t.column("weight").to_numpy(), samples, t.column("vector")))
 
         def ready() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [(), ()]
@@ -415,7 +434,7 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, share: float = 0.01, least_common: int = 50, slope: float = 0.1, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, share: float = 0.01, least_common: int = 50, slope: float = 0.1, block: int = 2048) -> DataFrame:
     """One row per row of ``docs``: id, sha (sha256 of the text), class_id, class_size, kept.
 
     Texts are linked when the weighted Jaccard similarity of their shingles of ``n`` words
@@ -461,14 +480,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets that still hold several components, in blocks that a task can hold.
     m = member.join(labels, "fp")
     still = m.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key")
-    m = m.join(still, ["band", "key"]).join(light.select("fp", "weight", "samples"), "fp")
+    m = m.join(still, ["band", "key"]).join(light.select("fp", "weight", "samples"), "fp").join(vectors, "fp")
     blocks = F.ceil(F.col("m") / block).cast("int")
     m = m.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    runs = m.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "fp", "label", "weight", "samples")
+    runs = m.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "fp", "label", "weight", "samples", "vector")
     runs = runs.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    labels = join_components(labels, verified(runs.mapInArrow(_close_pairs(agree, similar), "a string, b string")))
+    labels = join_components(labels, runs.mapInArrow(_block_links(agree, similar), "a string, b string"))
 
     named = nodes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     rows_ = signed.select("id", "sha", "fp").groupBy("id", "sha", "fp").agg(F.count(F.lit(1)).alias("n"))
