@@ -404,7 +404,8 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (fp, label) after links (a, b) between nodes; a label is the least node of a component.
 
     Each round hooks every label to the least label that a link leads to, halves the paths
-    of hooked labels by pointer jumping, and drops links inside one component.
+    of hooked labels by pointer jumping until each ends at a label that is not hooked, and
+    drops links inside one component. So a label moves in one round only.
     """
     la, lb = labels.select(F.col("fp").alias("a"), F.col("label").alias("la")), labels.select(F.col("fp").alias("b"), F.col("label").alias("lb"))
     at = lambda f: (F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"))
@@ -412,10 +413,14 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     moves = None
     while not edges.isEmpty():
         step = edges.groupBy("hi").agg(F.min("lo").alias("to")).withColumnRenamed("hi", "label")
-        for _ in range(3):
-            up = step.select(F.col("label").alias("to"), F.col("to").alias("top"))
-            step = step.join(up, "to", "left").select("label", F.coalesce("top", "to").alias("to"))
-        step = written(step, "hooks")
+        while True:
+            for _ in range(3):
+                up = step.select(F.col("label").alias("to"), F.col("to").alias("top"))
+                step = step.join(up, "to", "left").select("label", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("went"))
+            step = written(step, "hooks")
+            if step.where("went").isEmpty():
+                break
+        step = step.select("label", "to")
         if moves is None:
             moves = step
         else:

@@ -138,3 +138,10 @@ def test_hot_group_of_near_copies(spark, n):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     hot = got.where("class_size > 1").collect()
     assert len(hot) == n // 3 and {r.class_id for r in hot} == {0}
+
+
+@pytest.mark.parametrize("n", [9, 10, 121])
+def test_long_paths_give_each_node_once(spark, n):
+    nodes = [f"{i:04d}" for i in range(n)]
+    labels = near_dedup.join_components(spark.createDataFrame([(x, x) for x in nodes], "fp string, label string"), spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a string, b string"))
+    assert sorted((r.fp, r.label) for r in labels.collect()) == [(x, nodes[0]) for x in nodes]
