@@ -470,7 +470,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = member.select("fp").distinct()
     light = written(nodes.join(involved, "fp", "left_semi").select("fp", "rep", "sha", "weight", "samples"), "involved")
     wanted = light.select(F.col("rep").alias("id"), "sha", "fp")
-    texts = d.join(wanted, "id").where(F.sha2("text", 256) == F.col("sha")).select("fp", "text").dropDuplicates(["fp"])
+    known, null = d.where("id is not null"), d.where("id is null").select("text", F.sha2("text", 256).alias("sha"))
+    texts = known.join(wanted, "id").where(F.sha2("text", 256) == F.col("sha")).select("fp", "text")
+    texts = texts.unionByName(null.join(wanted.where("id is null"), "sha").select("fp", "text")).dropDuplicates(["fp"])  # by sha, as null ids are one hot key
     vectors = written(texts.mapInArrow(_vectors(weights, n), "fp string, vector binary"), "vectors")
     agree = least_agreement(bands * rows, similar)
 

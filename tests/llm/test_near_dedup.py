@@ -145,3 +145,12 @@ def test_long_paths_give_each_node_once(spark, n):
     nodes = [f"{i:04d}" for i in range(n)]
     labels = near_dedup.join_components(spark.createDataFrame([(x, x) for x in nodes], "fp string, label string"), spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a string, b string"))
     assert sorted((r.fp, r.label) for r in labels.collect()) == [(x, nodes[0]) for x in nodes]
+
+
+def test_near_copies_with_null_ids(spark):
+    copies = lambda c, n: [" ".join([*(f"{c}{i}" for i in range(200)), f"end{j}"]) for j in range(n)]
+    rows = [(None if j else 1, t) for j, t in enumerate(copies("a", 3))] + [(None, t) for t in copies("b", 3)] + [(None, "another text without copies")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.class_size, r.class_id or 0) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 0), *[(3, 0)] * 3, *[(3, 1)] * 3]
+    assert sorted(r.text[:2] for r in near_dedup.keep_one(df).collect()) == ["a0", "an", "b0"]
