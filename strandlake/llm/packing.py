@@ -141,7 +141,7 @@ class WordBpe:
         prev = np.arange(-1, n)
         prev[end - size + 1] = n
         nxt[n] = prev[n] = n
-        none = 1 << 40
+        none, bits = 1 << 40, n.bit_length()
         rank = np.full(n + 1, none, np.int64)
         inside = np.flatnonzero(nxt[:n] < n)
         rank[inside] = self._ranks(sym[inside], sym[inside + 1])
@@ -150,7 +150,7 @@ class WordBpe:
         while len(live):
             w = word[live]  # sorted, since places are
             first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            at = np.minimum.reduceat((rank[live] << 23) | live, first) & ((1 << 23) - 1)
+            at = np.minimum.reduceat((rank[live] << bits) | live, first) & ((1 << bits) - 1)
             right = nxt[at]
             sym[at] = self.made[rank[at]]
             alive[right] = False
@@ -176,13 +176,16 @@ class Encoder:
     The tokenizer parts words at white space before anything else, so ids of the pieces
     between ASCII white space join to the ids of the text. Each distinct piece of a batch
     is looked up once. Pieces of Latin letters that are not known are folded and merged
-    here, many at a time; every other piece goes to the tokenizer. Known pieces are kept
-    in a table of bounded size.
+    here, many at a time; every other piece goes to the tokenizer, as do pieces above
+    ``LONGEST`` bytes, whose merges would take a round each. A call takes ``CALL`` bytes
+    (or one longer piece). Known pieces are kept in a table of bounded size.
     """
 
     #: Fixed value: how the tokenizer parts a piece.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    CALL, LONGEST = 4 << 20, 1 << 16
+
     def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -216,7 +219,7 @@ class Encoder:
         hard = ~self._EASY[buf] | (second & ((buf == 0x97) | (buf == 0xB7))) | ((buf >= 0x80) & (buf < 0xC0) & ~second)
         buf[second & (buf <= 0x9E)] += 0x20
         hard[begin[1:] - 1] = False
-        easy = ~np.logical_or.reduceat(hard, begin) if self.bpe is not None else np.zeros(len(missing), bool)
+        easy = ~np.logical_or.reduceat(hard, begin) & (size <= self.LONGEST) if self.bpe is not None else np.zeros(len(missing), bool)
         inside = np.repeat(easy, size + 1)[:-1]
         inside[begin[1:] - 1] = False
         kind = self._KIND[buf]
@@ -257,8 +260,13 @@ class Encoder:
         got = list(map(self.known.get, words))
         if missing := [w for w, g in zip(words, got, strict=True) if g is None]:
             new = {}
-            for i in range(0, len(missing), 100_000):
-                new |= self._learn(missing[i : i + 100_000])
+            upto = np.cumsum(np.fromiter(map(len, missing), np.int64, len(missing)))
+            i = 0
+            while i < len(missing):
+                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + self.CALL, "right"))
+                j = max(i + 1, min(j, i + 100_000))
+                new |= self._learn(missing[i:j])
+                i = j
             got = [new[w] if g is None else g for w, g in zip(words, got, strict=True)]
             self.known.update((w, v) for w, v in new.items() if len(w) <= 64)
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4

@@ -86,3 +86,25 @@ def test_documents_fill_windows(spark, plain, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rows = packing.pack_documents(d).collect()
     assert check(rows, [(r.doc_id, r.text) for r in d.collect()], plain, 4096) > 0.97
+
+
+def blobs():
+    """Texts whose distinct pieces exceed 2**23 bytes: in many pieces, and in one."""
+    rng = np.random.default_rng(4)
+    chars = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    made = [chars[rng.integers(0, 64, (9 << 20) // 96 * 96)].tobytes().decode() for _ in range(2)]
+    return [" ".join(made[0][i : i + 96] for i in range(0, len(made[0]), 96)), made[1]]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_pieces_above_eight_mebibytes(plain, which):
+    text = blobs()[which]
+    assert packing.Encoder(PATH).encode([text])[0] == plain(text)
+
+
+def test_merges_of_many_bytes_in_one_call(plain):
+    words = ["thequickbrownfox", "jumpsoverthelazydog"]
+    raw = np.tile(np.frombuffer("".join(words).encode(), np.uint8), (9 << 20) // 35)
+    ids, count = packing.encoder(PATH).bpe.encode(raw, np.tile([len(w) for w in words], (9 << 20) // 35))
+    want = np.frombuffer(plain(" ".join(words)), "<u4")
+    assert len(ids) == count.sum() and (ids.reshape(-1, len(want)) == want).all()
