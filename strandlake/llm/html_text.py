@@ -27,13 +27,14 @@ from strandlake.plans.session import ship_package
 #: Elements that part blocks, that have no end, and whose content is not text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select option button object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select option button object canvas audio video".split())
 OPAQUE = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Fixed value: a start tag on the left ends an open element on the right.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign; one that is not closed is a plain character.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]+)?)?+)*+)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in OPAQUE}
 _SPLIT = re.compile(r"[^a-z0-9]+")

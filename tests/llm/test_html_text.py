@@ -88,3 +88,16 @@ def test_edges(spark):
     assert got.columns == ["page_id", "url", "src_text", "text", "n_chars", "n_kept", "n_blocks"] and got.count() == 4
     assert [r.text for r in got.where("n_blocks = 0").collect()] == ["", ""]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_stray_quotes_in_tags():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("<p>one <a title=Bob's>two</a> three.</p><p>four five don't six</p><p>seven</p>") == ["one two three.", "four five don't six", "seven"]
+    assert texts("""<p>one <img alt="5" tall"> two</p><p>three's</p>""") == ["one two", "three's"]
+    assert texts("""<p>one <a title="a > b" 'x = 'c > d' / >two</a></p><p class = "x"id='y'>three <a href="open>four</a></p>""") == ["one two", "three four"]
+    assert texts("<p>one</p '><p>two</p>") == ["one", "two"]
+
+
+def test_inline_math_stays():
+    page = "<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p><svg><text>no</text></svg>"
+    assert [b.text for b in html_text.blocks(page)] == ["let x=2 hold"]
