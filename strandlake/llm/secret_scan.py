@@ -316,22 +316,36 @@ def trained(n: int = 300, seed: int = 2) -> Field:
     return fit(runs)
 
 
-def tagged(field: Field, data: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that the field tags, each from a B to the last I after it."""
+def tagged(field: Field, data: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Groups of neighbouring tokens that the field tags, each from a B to the last I after it."""
     out = []
     for run, rows in runs_of(data, tokens):
         for i, y in zip(run, field.viterbi(field.emissions(rows)), strict=True):
             if y == 1:
-                out.append(tokens[i])
+                out.append([tokens[i]])
             elif y == 2 and out:
-                out[-1] = (out[-1][0], tokens[i][1])
+                out[-1].append(tokens[i])
     return out
 
 
+def apart(group: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the tokens of a group that touch no base span; tokens that follow one another are one span."""
+    start = end = None
+    for s, e in group:
+        if any(a < e and s < b for a, _, b in base):
+            if start is not None:
+                yield start, end
+            start = None
+        else:
+            start, end = s if start is None else start, e
+    if start is not None:
+        yield start, end
+
+
 def scan(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) in code points of each text; kinds number KINDS.
 
-    Spans of the field that touch a base span are left to that span.
+    Tokens of the field that touch a base span are left to that span; the others of their group stay.
     """
     t = Texts(texts)
     hot = hot_tokens(t)
@@ -345,7 +359,8 @@ def scan(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int
     for d in np.flatnonzero(np.diff(edges)).tolist():
         tokens = [(int(s - t.starts[d]), int(e - t.starts[d])) for s, e in zip(hot[0][edges[d] : edges[d + 1]], hot[1][edges[d] : edges[d + 1]], strict=True)]
         data = t.data[int(t.starts[d]) : int(t.ends[d])].decode("latin-1")  # one character a byte
-        out[d] += [(s, 3, e) for s, e in tagged(field, data, tokens) if not any(a < e and s < b for a, k, b in out[d] if k < 3)]
+        fixed = list(out[d])
+        out[d] += [(s, 3, e) for group in tagged(field, data, tokens) for s, e in apart(group, fixed)]
         out[d].sort()
     for d, spans in enumerate(out):
         raw = t.data[int(t.starts[d]) : int(t.ends[d])]
