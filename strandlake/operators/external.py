@@ -194,18 +194,29 @@ def extend_contig(contigs: DataFrame, reads: DataFrame, key: str, tool: Tool = T
     return c.groupBy("group").cogroup(r.groupBy("group")).applyInPandas(work, "group string, seq string, extended int")
 
 
-def blat_groups(groups: DataFrame, database: DataFrame, tool: Tool = TOOLS["blat"]) -> DataFrame:
+def blat_groups(groups: DataFrame, database: DataFrame, tool: Tool = TOOLS["blat"], bases: int = 64 << 20) -> DataFrame:
     """group, reads: for each group of reads, the database's reads that they hit, with their mates.
 
-    ``groups``: group, id, d, seq; ``database``: id, d, seq. The program's rows name the
-    read in column 1.
+    ``groups``: group, id, d, seq; ``database``: id, d, seq. A group's reads and their mates,
+    as the database has them, are the query. The program's rows name the database's read in
+    column 1. The database is searched in parts of about ``bases`` bases, and as many bases
+    of queries go to a task together; hits of all parts are united.
     """
-    flat = groups.select("group", F.col("id").cast("string"), F.col("d").cast("int"), "seq")
-    mates = flat.select("group", "id").distinct().join(database.select(F.col("id").cast("string"), F.col("d").cast("int"), "seq"), "id")
+    ship_package(groups.sparkSession)
+    db = database.select(F.col("id").cast("string"), F.col("d").cast("int"), F.col("seq").cast("string"))
+    named = groups.select(F.col("group").cast("string"), F.col("id").cast("string")).distinct().join(db, "id").select(*[F.col(c).alias(c) for c in ("group", "id", "d", "seq")])
+    count = lambda df: max(1, -(-(df.agg(F.sum(F.length("seq"))).first()[0] or 0) // bases))
+    parts, many = count(db), count(named)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = db.withColumn("part", F.pmod(F.xxhash64("id", "d", "seq"), F.lit(parts)).cast("int")).withColumn("lot", each(many))
+    right = named.withColumn("lot", F.pmod(F.xxhash64("group"), F.lit(many)).cast("int")).withColumn("part", each(parts))
 
-    def work(pdf: pd.DataFrame) -> list[tuple]:
-        text = tool.run({"reads": to_fasta(_named(pdf)), "query": to_fasta(_named(pdf))})
-        hit = sorted({line.split("\t")[1] for line in text.splitlines() if line.count("\t")})
-        return [(str(pdf["group"].iloc[0]), ", ".join(hit))]
-
-    return _grouped(mates.select("group", "id", "d", "seq"), "group", work, "group string, reads string")
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, reads = [], to_fasta(_named(a))
+        for g, own in b.groupby("group", sort=False, dropna=False):
+            hit = tool.run({"reads": reads, "query": to_fasta(_named(own))}) if reads else ""
+            out.append((g, sorted({line.split("\t")[1] for line in hit.splitlines() if line.count("\t")})))
+        return pd.DataFrame(out, columns=["group", "hit"])
+
+    hits = left.groupBy("part", "lot").cogroup(right.groupBy("part", "lot")).applyInPandas(work, "group string, hit array<string>")
+    return hits.groupBy("group").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))), ", ").alias("reads"))

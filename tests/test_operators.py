@@ -140,3 +140,20 @@ def test_blast_and_extension(spark, tmp_path):
     got = {r.group: (r.seq, r.extended) for r in external.extend_contig(contigs, near, "grp", CAT).collect()}
     assert got == {"c": ("acgtt", 1), "e": ("acgtacgt", 0)}
     assert external.scaled_evalue(1.0, 50, 100) == 0.5
+
+
+def test_blat_finds_reads_outside_the_group(spark, tmp_path):
+    script = tmp_path / "blat.py"
+    script.write_text(
+        "import sys\n"
+        "def fa(p): x = open(p).read().split(); return list(zip((i[1:] for i in x[::2]), x[1::2]))\n"
+        "for q, s in fa(sys.argv[2]):\n"
+        "    for r, t in fa(sys.argv[1]):\n"
+        "        if s[:4] in t: print(q, r, sep='\\t')\n"
+    )
+    tool = external.Tool(f"python3 {script} {{reads}} {{query}}")
+    db = spark.createDataFrame([("r", 1, "acgtaa"), ("r", 2, "ggggtt"), ("s", 0, "ttacgt"), ("t", 0, "ccggggcc"), ("u", 0, "ctctct")], "id string, d int, seq string")
+    groups = spark.createDataFrame([("g", "r", 1, "acgtaa"), ("h", "u", 0, "ctctct"), ("h", "s", 0, "ttacgt")], "group string, id string, d int, seq string")
+    for parts in ({}, {"bases": 9}):  # one part, several parts
+        got = {r.group: r.reads for r in external.blat_groups(groups, db, tool, **parts).collect()}
+        assert got == {"g": "r/1, r/2, s, t", "h": "s, u"}
