@@ -208,12 +208,17 @@ def joined_values(spark, sf_dir):
     return groups.joined_values(table(spark, sf_dir, "conversations"), "conv_id", "role")
 
 
+def stub_contigs(spark, sf_dir):
+    """The longest contig by source, where every text is a read of its own length and the program under test gives its input back."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "z")
+    r = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("d"), sequences.from_text(letters).alias("seq"))
+    return external.assemble_longest(r, "source", external.Tool("cat {reads}"))
+
+
 @query("SELECT source AS \"group\", max(length(text))::BIGINT AS longest FROM documents GROUP BY source")
 def assemble_stub(spark, sf_dir):
-    """Every text is a read; the program under test gives its input back, so the longest read is the contig."""
-    r = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("d"), F.rpad(F.lit("a"), F.length("text"), "c").alias("seq"))
-    got = external.assemble_longest(r, "source", external.Tool("cat {reads}"))
-    return got.select("group", F.length("seq").cast("long").alias("longest"))
+    """Lengths of :func:`stub_contigs`, so the longest text's."""
+    return stub_contigs(spark, sf_dir).select("group", F.length("seq").cast("long").alias("longest"))
 
 
 # --- scalar functions -------------------------------------------------------------
