@@ -20,26 +20,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlake.llm.textnum import Texts, drop_powers, slices
+from strandlake.llm.textnum import Texts, slices
 from strandlake.plans.session import ship_package
 
 #: Elements that part blocks, that have no end, and whose content is not text.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select option button object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select option".split())
 OPAQUE = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Fixed value: a start tag on the left ends an open element on the right.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 
-#: A quote opens a value only after an equals sign; one that is not closed is a plain character.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]+)?)?+)*+)>|<[!?][^>]*(?:>|\Z)", re.S)
+#: Fixed value: elements nested deeper share the place of the last one, as in browsers.
+DEEPEST = 512
+
+_VALUE = r"\"[^\">]*+\"|'[^'>]*+'|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>]+"
+#: One tag, comment or declaration. A quote opens a value only after an equals sign. Where a
+#: quoted value holds the end of a tag and text follows its second quote at once, or where
+#: there is no second quote, the first one is a plain character.
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</>", re.S)
+#: The same without regard to quotes.
+_PLAIN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in OPAQUE}
+_BARE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _SPLIT = re.compile(r"[^a-z0-9]+")
-#: White space other than single spaces, which may stay as they are.
-_WHITE = re.compile("[\\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029][ \\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029]*| [ \\t\\n\\r\\f\\v\\u0085\\u00a0\\u2028\\u2029]+")
+#: Any white space of Unicode other than single spaces, which may stay as they are.
+_WHITE = re.compile(r"[^\S ]\s*| \s+")
 
 
 @dataclass
@@ -49,6 +59,79 @@ class Block:
     linked: int  # characters inside links
 
 
+class Open:
+    """The stack of open elements. Every operation is constant in its depth, apart from what it pops."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[tuple[str, ...]] = [()]  # of each element, after the root's
+        self.at: dict[str, list[int]] = {}  # places of each name
+        self.blocks: list[int] = []  # places of block elements
+        self.raw = self.anchors = 0
+
+    def push(self, name: str, step: str) -> None:
+        n = len(self.names)
+        self.at.setdefault(name, []).append(n)
+        if name in BLOCK:
+            self.blocks.append(n)
+        self.raw += name in RAW
+        self.anchors += name == "a"
+        self.names.append(name)
+        self.paths.append((*self.paths[-1], step) if n < DEEPEST else self.paths[-1])
+
+    def pop(self, n: int) -> None:
+        for name in self.names[n:]:
+            self.at[name].pop()
+            self.raw -= name in RAW
+            self.anchors -= name == "a"
+        while self.blocks and self.blocks[-1] >= n:
+            self.blocks.pop()
+        del self.names[n:], self.paths[n + 1 :]
+
+    def last(self, of: frozenset | set | tuple) -> int:
+        """Place of the innermost element with one of these names, or -1."""
+        return max((self.at[x][-1] for x in of if self.at.get(x)), default=-1)
+
+
+def _step(name: str, attrs: str) -> str:
+    """A tag with the words of its class, id and role."""
+    step = name
+    for a in _ATTR.finditer(attrs):
+        key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'").lower()
+        if key in ("class", "id", "role", "itemprop"):
+            step += " " + " ".join(w for w in _SPLIT.split(value) if w)
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            step += " hidden"
+    return step
+
+
+def _tags(src: str) -> Iterator[tuple[int, int, str | None, str | None, str | None]]:
+    """(start, end, slash, name, attributes) of each piece of markup; the receiver may send where to go on.
+
+    Time is linear in the page, however it is malformed: a ``<`` after the last ``>`` is
+    text, and once a quote has run to the end of the page quotes are no longer heeded.
+    """
+    at, last, markup = 0, src.rfind(">"), _MARKUP
+    while True:
+        p = src.find("<", at)
+        if p < 0:
+            return
+        m = markup.match(src, p)
+        if m is None and p < last and markup is _MARKUP and re.match("</?[a-zA-Z]", src[p : p + 3]):
+            markup = _PLAIN
+            m = markup.match(src, p)
+        if m is None:
+            at = p + 1
+            if p > last and not src.startswith(("<!", "<?"), p):
+                p = min((q for q in (src.find("<!", at), src.find("<?", at)) if q >= 0), default=-1)
+                if p < 0:
+                    return
+                at = p
+            continue
+        go = yield p, m.end(), *m.groups()
+        at = m.end() if go is None else go
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order; scripts, styles, forms' controls, comments and markup give none.
 
@@ -57,11 +140,11 @@ def blocks(page: str | None) -> list[Block]:
     """
     src = page or ""
     out: list[Block] = []
-    names: list[str] = []  # open elements
-    paths: list[tuple[str, ...]] = [()]  # of each of them, after the root's
+    stack = Open()
     parts: list[str] = []
-    linked = skip = anchors = 0
+    linked = 0
     home: tuple | None = None
+    endless: set[str] = set()  # names that no end tag follows any more
 
     def flush() -> None:
         nonlocal linked, home
@@ -73,81 +156,67 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         linked, home = 0, None
 
-    def pop(n: int) -> None:
-        nonlocal skip, anchors
-        for name in names[n:]:
-            skip -= name in RAW
-            anchors -= name == "a"
-        del names[n:], paths[n + 1 :]
-
-    def open_one(of: frozenset | set | tuple) -> int:
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] in of:
-                return i
-        return -1
-
-    at, end, search = 0, len(src), _MARKUP.search
+    at, end = 0, len(src)
+    tags = _tags(src)
+    tag = next(tags, None)
     while at < end:
-        m = search(src, at)
-        stop = m.start() if m is not None else end
-        if stop > at and not skip:
+        stop = tag[0] if tag is not None else end
+        if stop > at and not stack.raw:
             text = src[at:stop]
             if "&" in text:
                 text = html.unescape(text)
             if home is None and not text.isspace():
-                home = paths[-1]
+                home = stack.paths[-1]
             parts.append(text)
-            if anchors:
+            if stack.anchors:
                 linked += len(text)
-        if m is None:
+        if tag is None:
             break
-        at = m.end()
-        ended, name, attrs = m.groups()
-        if name is None:
-            continue
-        name = name.lower()
-        if ended:  # an end tag without its start is passed over
-            found = len(names) - 1 if names and names[-1] == name else open_one((name,))
-            if found < 0:
-                continue
-            if name in BLOCK:
-                flush()
-            elif any(x in BLOCK for x in names[found:]):  # an inline end tag does not close blocks around it
-                continue
-            pop(found)
-            continue
-        if name in BLOCK:
-            if parts:
-                flush()
-            if name in CLOSES_P:
-                p = open_one(("p", "table", "td", "th", "button"))
-                if p >= 0 and names[p] == "p":
-                    pop(p)
-            if name in IMPLIED:
-                p = open_one(IMPLIED[name] | {"ul", "ol", "menu", "dl", "table", "select"})
-                if p >= 0 and names[p] in IMPLIED[name]:
-                    pop(p)
-        elif name == "br":
-            parts.append(" ")
-        if name in VOID or attrs and attrs.endswith("/") and name not in BLOCK:
-            continue
-        step = name
-        if attrs:
-            for a in _ATTR.finditer(attrs):
-                key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'").lower()
-                if key in ("class", "id", "role", "itemprop"):
-                    step += " " + " ".join(w for w in _SPLIT.split(value) if w)
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    step += " hidden"
-        names.append(name)
-        paths.append((*paths[-1], step))
-        if name == "a":
-            anchors += 1
-        if name in RAW:
-            skip += 1
-            if name in OPAQUE:  # its content is not markup
-                close = _CLOSERS[name].search(src, at)
-                at = close.start() if close else end
+        _, at, ended, name, attrs = tag
+        go = None
+        if name is not None:
+            name = name.lower()
+            if ended:
+                found = stack.last((name,))
+                # An end tag without its start is passed over, and an inline one does not close blocks around it.
+                if found >= 0 and (name in BLOCK or not (stack.blocks and stack.blocks[-1] > found)):
+                    if name in BLOCK:
+                        flush()
+                    stack.pop(found)
+            else:
+                if name in BLOCK:
+                    if parts:
+                        flush()
+                    if name in CLOSES_P:
+                        p = stack.last(("p", "table", "td", "th", "button"))
+                        if p >= 0 and stack.names[p] == "p":
+                            stack.pop(p)
+                    if name in IMPLIED:
+                        p = stack.last(IMPLIED[name] | {"ul", "ol", "menu", "dl", "table", "select"})
+                        if p >= 0 and stack.names[p] in IMPLIED[name]:
+                            stack.pop(p)
+                elif name == "br":
+                    parts.append(" ")
+                closed = attrs.endswith("/") and name not in BLOCK and not _BARE_SLASH.search(attrs)
+                if name not in VOID and not closed:
+                    close = _CLOSERS[name].search(src, at) if name in OPAQUE and name not in endless else None
+                    if close is None and name in OPAQUE:
+                        endless.add(name)
+                    if close is not None or name not in OPAQUE or name in ("script", "style"):
+                        stack.push(name, _step(name, attrs) if attrs else name)
+                    if close is not None:  # what it holds is not markup
+                        go = close.start()
+                    elif name in ("script", "style"):
+                        go = end
+        if go is not None:
+            at = go
+            tag = None
+            try:
+                tag = tags.send(go)
+            except StopIteration:
+                pass
+        else:
+            tag = next(tags, None)
     flush()
     return out
 
@@ -202,7 +271,6 @@ def vectors(found: list[Block]) -> np.ndarray:
     commas = np.array([b.text.count(",") for b in found])
     last = np.array([b.text[-1] in ".!?:;\"')" for b in found])
     x[:, -N_COUNTS:] = np.column_stack([np.log1p(size) / 6, np.log1p(count) / 5, np.array([b.linked for b in found]) / size, np.minimum(stops / count, 1), np.minimum(commas / count, 1), last, np.array([len(b.path) for b in found]) / 12, size < 40, count >= 25, np.array([b.text[0] in "©®" for b in found])])
-    drop_powers()
     return x
 
 
@@ -360,6 +428,7 @@ def synthetic_page(rng: random.Random) -> str:
             lambda: box(pick("div", "section"), "newsletter", "subscribe", "signup", "share", "social"),
             lambda: f"<aside>{pick(words(2, 40), f'<p>{words(3, 50)}</p>', f'<ul>{links(num(2, 6))}</ul>')}</aside>",
             lambda: f"<form{cls('search', 'signup', 'login')}><label>{words(1, 4)}</label><input name='q'><button>{words(1, 3)}</button>{pick('', f'<p>{words(3, 20)}</p>')}</form>",
+            lambda: f"<button{cls('share', 'subscribe', 'btn')}>{words(1, 3)}</button>",
             lambda: f"<nav{cls('menu', 'nav', 'breadcrumb', 'pagination')}>{pick(f'<ul>{links(num(2, 8))}</ul>', ' '.join(f'<a href=/{word()}>{words(1, 3)}</a>' for _ in range(num(2, 6))))}</nav>",
             lambda: f"<div class='{pick('menu', 'breadcrumb', 'tags', 'share', 'social')}'>{''.join(f'<a href=/{word()}>{words(1, 3)}</a> ' for _ in range(num(2, 6)))}</div>",
         )()
@@ -476,7 +545,9 @@ def main_text(pages: list[str | None], net: Network, cut: float = 0.5) -> list[t
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, net: Network | None = None, cut: float = 0.5) -> DataFrame:
     """The columns ``keep`` (all but the html by default) with text, n_chars, n_kept, n_blocks.
 
-    A null or empty page, or one without main text, gives an empty text. Kept columns
+    A null or empty page, or one without main text, gives an empty text. Whole pages are
+    read, in time linear in their length, however long or malformed; blocks that repeat
+    are all there. Kept columns
     with the name of an added one come back with ``src_`` before it. Rows that repeat
     are labelled each; an empty table gives an empty result.
     """
@@ -487,10 +558,10 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     safe = [f"src_{c}" if c in added else c for c in keep]
     d = pages.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(keep, safe, strict=True)], F.col(f"`{html_col}`").cast("string").alias("__html"))
     n = len(safe)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "text string, n_chars long, n_kept long, n_blocks long"])
+    schema = T.StructType([*d.schema.fields[:-1], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, n, 4 << 20):
+        for b in slices(batches, n, 1 << 20):
             got = main_text(b.column(n).to_pylist(), net, cut)
             text, kept, total = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(kept, pa.int64()), pa.array(total, pa.int64())], names=[*safe, *added])

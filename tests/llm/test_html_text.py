@@ -101,3 +101,52 @@ def test_stray_quotes_in_tags():
 def test_inline_math_stays():
     page = "<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p><svg><text>no</text></svg>"
     assert [b.text for b in html_text.blocks(page)] == ["let x=2 hold"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=it's>hello world first</p><p>don't lose me</p><p>third</p>", ["hello world first", "don't lose me", "third"]),
+        ('<p title="open>one</p><p class="x">two</p><p>three</p>', ["one", "two", "three"]),
+        ("<p title='open>one</p><p>two</p>", ["one", "two"]),
+        ("<p>area <math>x</math> metres</p>", ["area x metres"]),
+        ("<p>press <button>go</button> now <object>or this</object></p>", ["press go now or this"]),
+        ("<p>\u2003a\u2009\u202f b\u3000c\u1680\x1cd\u205f</p>", ["a b c d"]),
+        ("<!-->one<!--->two<!-- x --!>three<!-- <p>never", ["onetwothree"]),
+        ("<p>a < b, </ c> </> d <3 </3> e", ["a < b, d <3 e"]),
+        ("<title>no end<p>kept</p>", ["no end", "kept"]),
+        ("<p>x<script>if (a<b) '</p>'</script>y<script>rest", ["xy"]),
+        ("<p>a <a href=/>link</a> b <a name='n'/>c", ["a link b c"]),
+        ("<p>one</p><a <a <p", ["one", "<a <a <p"]),
+        ("<p>1</p><a b='2>3</p><p>4", ["1", "3", "4"]),
+    ],
+)
+def test_malformed_markup(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", '<a b="', "<b>", "<div>", "<div>x", "<p><table><b>x</b></i>", "<a href=x>y", "<!", "<!--", "</", "<", "<a b=\"c>\" d='", "&amp", "<table><div></b>", "<title>", "<a b='>\"", "<b>x<div>"])
+def test_long_malformed_pages_take_linear_time(unit):
+    import time
+
+    start = time.perf_counter()
+    for tail in ("", ">", "'>", '">'):
+        html_text.blocks(f"<p>one</p>{unit * (500_000 // len(unit))}{tail}")
+    assert time.perf_counter() - start < 20
+
+
+def test_very_long_page_is_read_whole(net):
+    main = [f"Paragraph number {i} says something long enough, with words and a full stop at its end." for i in range(12_000)]
+    page = f"<html><body><nav><ul><li><a href=/>menu</a></li></ul></nav><article><h1>Title of it all</h1>{''.join(f'<p>{x}</p>' for x in main)}</article><footer>&copy; site</footer></body></html>"
+    text = html_text.main_text([page], net)[0][0].split("\n\n")
+    assert text[-1] == main[-1] and "menu" not in text and len(text) >= 0.999 * len(main)
+
+
+def test_query_against_the_articles(spark, sf):
+    from strandlake.llm import queries
+
+    got = {r.page_id: r for r in queries.op4_html(spark, sf).collect()}
+    src = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(src)
+    for r in src:
+        assert (got[r.page_id].text, got[r.page_id].url, got[r.page_id].n_chars) == (article(r.html), r.url, len(article(r.html)))
