@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"), "n_crf")
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"), "n_crf", "n_tagged")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
