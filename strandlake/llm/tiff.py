@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.plans.session import ship_package
 
@@ -95,92 +96,112 @@ def pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Codes between two clear codes: 258 to 4093 and the one that fills the table.
+_LZW_RUN = 4094 - 258
+
+
+def _code_widths(n: int) -> np.ndarray:
+    """Bits of each of ``n`` codes after a clear code: 9 to 12, changed one code early."""
+    size = np.arange(258, 258 + n)
+    return 9 + (size >= 512).astype(np.int64) + (size >= 1024) + (size >= 2048)
+
+
+_WIDTHS = _code_widths(_LZW_RUN + 260)
+_WIDTHS_AT = np.append(0, np.cumsum(_WIDTHS))
+
+
+def _bits_at(buf: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Numbers of ``width`` bits (17 at most) from bit ``at``; ``buf`` ends in three spare bytes."""
+    i = at >> 3
+    v = (buf[i].astype(np.int64) << 16) | (buf[i + 1].astype(np.int64) << 8) | buf[i + 2]
+    return (v >> (24 - width - (at & 7))) & ((1 << width) - 1)
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """Most significant bit first, 9 to 12 bits a code, widths change one code early."""
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, got = [], 0
-    acc = held = 0
-    width, prev = 9, None
-    for byte in data:
-        acc = (acc << 8) | byte
-        held += 8
-        if held < width:
-            continue
-        held -= width
-        code = acc >> held
-        acc &= (1 << held) - 1
-        if code == 257:
+    """Most significant bit first, 9 to 12 bits a code, widths change one code early.
+
+    The widths between two clear codes are known ahead, so the codes of a run are read at
+    once and only the table is built one by one.
+    """
+    buf = np.frombuffer(data + b"\0\0\0", np.uint8)
+    bits = 8 * len(data)
+    base = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, got, at = [], 0, 0
+    while got < size:
+        n = int(np.searchsorted(_WIDTHS_AT, bits - at, "right")) - 1
+        n = min(n, len(_WIDTHS))
+        if n <= 0:
             break
-        if code == 256:
-            del table[258:]
-            width, prev = 9, None
-            continue
-        if prev is None:
-            if code > 255:
-                raise TiffError("lzw: the first code is not a byte")
-            entry = table[code]
-        elif code < len(table):
-            entry = table[code]
-            table.append(prev + entry[:1])
-        elif code == len(table):
-            entry = prev + prev[:1]
-            table.append(entry)
-        else:
-            raise TiffError("lzw: a code is ahead of the table")
-        out.append(entry)
-        got += len(entry)
-        prev = entry
-        full = len(table)
-        width = 9 if full < 511 else 10 if full < 1023 else 11 if full < 2047 else 12
-        if got >= size:
+        codes = _bits_at(buf, at + _WIDTHS_AT[:n], _WIDTHS[:n])
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        run = codes[: stop[0]].tolist() if len(stop) else codes.tolist()
+        table = base[:]
+        prev = b""
+        for code in run:
+            if not prev:
+                if code > 255:
+                    raise TiffError("lzw: the first code is not a byte")
+                prev = table[code]
+                out.append(prev)
+                got += 1
+                continue
+            if code < len(table):
+                entry = table[code]
+                table.append(prev + entry[:1])
+            elif code == len(table):
+                entry = prev + prev[:1]
+                table.append(entry)
+            else:
+                raise TiffError("lzw: a code is ahead of the table")
+            out.append(entry)
+            got += len(entry)
+            prev = entry
+            if got >= size or len(table) > 4096:
+                break
+        if not len(stop) or codes[stop[0]] == 257:
             break
+        at += int(_WIDTHS_AT[stop[0] + 1])
     return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes, table, nxt = bytearray(), {}, 258
-    acc, held, width = 256, 9, 9
-
-    def reset() -> None:
-        nonlocal table, nxt
-        table, nxt = {bytes([i]): i for i in range(256)}, 258
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc = (acc << width) | code
-        held += width
-        while held >= 8:
-            held -= 8
-            codes.append(acc >> held)
-            acc &= (1 << held) - 1
-
-    reset()
-    codes.append(acc >> 1)
-    acc, held = acc & 1, 1
-    w = b""
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table:
-            w += c
+    """Codes are found one by one; their bits are put together at once."""
+    runs: list[list[int]] = []
+    codes: list[int] = [256]
+    table: dict[int, int] = {}
+    get, nxt, w = table.get, 258, -1
+    for c in data:
+        if w < 0:
+            w = c
+            continue
+        key = (w << 8) | c
+        known = get(key)
+        if known is not None:
+            w = known
             continue
-        put(table[w])
-        table[w + c] = nxt
+        codes.append(w)
+        table[key] = nxt
         nxt += 1
         if nxt >= 4094:
-            put(256)
-            reset()
-            width = 9
-        else:
-            width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
+            codes.append(256)
+            runs.append(codes)
+            codes = []
+            table.clear()
+            nxt = 258
         w = c
-    if w:
-        put(table[w])
-        nxt += 1
-        width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
-    put(257)
-    if held:
-        codes.append((acc << (8 - held)) & 255)
-    return bytes(codes)
+    if w >= 0:
+        codes.append(w)
+    codes.append(257)
+    runs.append(codes)
+    # The first run begins with a clear code of 9 bits, after which widths start anew.
+    flat = np.array([c for r in runs for c in r], np.int64)
+    widths = np.concatenate([np.append(9, _WIDTHS[: len(r) - 1]) if i == 0 else _WIDTHS[: len(r)] for i, r in enumerate(runs)])
+    at = np.append(0, np.cumsum(widths))
+    total = int(at[-1])
+    v, i = flat << (24 - widths - (at[:-1] & 7)), at[:-1] >> 3
+    n = -(-total // 8) + 3
+    out = sum(np.bincount(i + k, weights=(v >> (16 - 8 * k)) & 255, minlength=n) for k in range(3))
+    return out[: -(-total // 8)].astype(np.uint8).tobytes()
 
 
 def _decode(data: bytes, kind: int, size: int) -> bytes:
@@ -425,7 +446,7 @@ def tiff_pages(df: DataFrame, content_col: str = "content", keep: list[str] | No
     keep = [c for c in df.columns if c != content_col] if keep is None else keep
     safe = [f"src_{c}" if c in _FIELDS else c for c in keep]
     d = df.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(keep, safe, strict=True)], F.col(f"`{content_col}`").alias("__content"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), _PAGE])
+    schema = T.StructType([*d.schema.fields[:-1], *T.StructType.fromDDL(_PAGE).fields])
     n = len(safe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,18 +465,19 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b)), len(b)
 
 
-def store_bytes(payload: bytes, width: int = 64) -> bytes:
+def store_bytes(payload: bytes, width: int = 64, compression: int | None = None, predictor: int | None = None, tiled: bool | None = None) -> bytes:
     """A one-page TIFF with the payload as 8-bit samples, ``width`` a row.
 
-    Up to 256 bytes are stored as LZW, up to 1024 as PackBits, more as deflate strips of
-    64 KiB with horizontal differencing.
+    What is not given is chosen by the crc32 of the payload, whatever its length: LZW,
+    PackBits or deflate; with horizontal differencing or without; strips of 1024 rows or
+    tiles of 64 by 64.
     """
     a = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    if len(payload) <= 256:
-        return write_pages([a], LZW)
-    if len(payload) <= 1024:
-        return write_pages([a], PACKBITS)
-    return write_pages([a], DEFLATE, 2, rows_per_strip=1024)
+    h = zlib.crc32(payload)
+    compression = (LZW, PACKBITS, DEFLATE)[h % 3] if compression is None else compression
+    predictor = 1 + h // 3 % 2 if predictor is None else predictor
+    tiled = bool(h // 6 % 2) if tiled is None else tiled
+    return write_pages([a], compression, predictor, rows_per_strip=1024, tile=(64, 64) if tiled else None)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,6 +489,12 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes_text, content (the TIFF), media_bytes, media_sha256; a null text is empty."""
+    """The id (under its own name), n_bytes_text, content (the TIFF), media_bytes, media_sha256.
+
+    A null text is empty; a null id stays null; rows that repeat are stored each; other
+    columns are not read. A text of any length is one page, in strips or tiles of bounded
+    size. An empty table gives an empty result.
+    """
     ship_package(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(_stored, "doc_id long, n_bytes_text long, content binary, media_bytes long, media_sha256 string")
+    stored = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return stored.mapInArrow(_stored, "doc_id long, n_bytes_text long, content binary, media_bytes long, media_sha256 string").withColumnRenamed("doc_id", id_col)

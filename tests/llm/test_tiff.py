@@ -82,7 +82,79 @@ def test_query_columns(spark):
         want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert sorted(((r.doc_id, r.n_bytes_text, r.n_bytes, r.pixels_sha256, r.tail_crc32) for r in got), key=str) == sorted(want, key=str)
     assert all(r.error is None and r.page == 0 for r in got)
-    assert {r.compression for r in got} == {"lzw", "deflate"}
+    assert len({(r.compression, r.predictor, r.tiled) for r in got}) > 1
+
+
+@pytest.mark.parametrize("size", [64, 256, 320, 1024, 1088, 70_016, 300_032])
+def test_stored_forms_do_not_depend_on_the_length(size):
+    seen = set()
+    for k in range(200 if size < 2000 else 24):
+        payload = bytes([65 + k % 26]) * (size // 2) + np.random.default_rng(k).integers(0, 256, size - size // 2, dtype=np.uint8).tobytes()
+        (p,) = tiff.read_pages(tiff.store_bytes(payload))
+        assert p.pixels.tobytes() == payload
+        seen.add((p.compression, p.predictor, p.tiled))
+    if size < 2000:
+        assert seen == {(c, d, t) for c in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE) for d in (1, 2) for t in (False, True)}
+
+
+@pytest.mark.parametrize("kind", [tiff.LZW, tiff.PACKBITS, tiff.DEFLATE])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_long_texts_in_every_codec(kind, tiled):
+    text = " ".join(f"word{i * 7919 % 5000}" for i in range(90_000))
+    payload, _ = tiff.payload_of(text)
+    (p,) = tiff.read_pages(tiff.store_bytes(payload, compression=kind, tiled=tiled))
+    assert p.pixels.tobytes() == payload and (p.compression, p.tiled) == (kind, tiled)
+
+
+def test_lzw_by_the_book():
+    """A plain encoder and decoder, one bit at a time, beside the ones under test."""
+
+    def plain(data):
+        bits, table, width = [], {bytes([i]): i for i in range(256)}, 9
+        put = lambda c: bits.extend(int(x) for x in format(c, f"0{width}b"))
+        put(256)
+        nxt, w = 258, b""
+        for c in data:
+            c = bytes([c])
+            if w + c in table:
+                w += c
+                continue
+            put(table[w])
+            table[w + c] = nxt
+            nxt += 1
+            if nxt >= 4094:
+                put(256)
+                table, nxt, width = {bytes([i]): i for i in range(256)}, 258, 9
+            else:
+                width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
+            w = c
+        if w:
+            put(table[w])
+            nxt += 1
+            width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
+        put(257)
+        bits += [0] * (-len(bits) % 8)
+        return bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 253, 254, 255, 256, 765, 766, 767, 1790, 3835, 3836, 3837, 9000):
+        for top in (2, 256):
+            data = rng.integers(0, top, n, dtype=np.int64).astype(np.uint8).tobytes()
+            assert tiff.lzw_encode(data) == plain(data)
+            assert tiff.lzw_decode(plain(data), n) == data
+
+
+def test_registered_query(spark, sf):
+    from strandlake.llm import queries
+
+    got = {r.doc_id: r for r in queries.op5_tiff(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        payload, n = tiff.payload_of(d.text)
+        media = tiff.store_bytes(payload)
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
 
 
 def test_operator_edges(spark):
