@@ -56,3 +56,54 @@ def test_edit_table(spark, count):
     assert got[3].n_tokens_edited == count(["into an empty text"])[0]
     assert got[5].n_tokens_edited == 0 and got[7].n_edits == 0
     assert token_counts.count_with_edits(docs.where("doc_id < 9"), edits.withColumn("text", F.col("text"))).count() == 7
+
+
+def test_large_inserts_are_split(count):
+    tree = token_counts.SegmentTree("a few words here", count)
+    big = " ".join(f"word{i}" for i in range(40_000))
+    tree.replace(6, 6, big)
+    before = tree.encoded
+    tree.replace(150_000, 150_001, "x")
+    assert tree.encoded - before < 3000
+    assert tree.total == count([tree.text()])[0]
+    tree.replace(10, len(tree) - 10, "")  # most runs are empty now
+    assert len(tree.runs) < 20 and tree.total == count([tree.text()])[0]
+
+
+def test_text_without_spaces_has_runs(count):
+    rng = random.Random(1)
+    text = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=120_000))
+    tree = token_counts.SegmentTree(text, count)
+    assert len(tree.runs) > 150 and tree.total == count([text])[0]
+    tree.replace(60_000, 60_001, "!")
+    assert tree.encoded < 3000 and tree.total == count([tree.text()])[0]
+
+
+def test_byte_level_pattern():
+    assert token_counts.vocabulary()[1] == token_counts.BYTE_LEVEL
+
+
+def test_trees_outlive_the_job(spark, count, tmp_path):
+    docs = edge.table(spark).where("doc_id < 9")
+    token_counts.build_trees(docs).write.parquet(str(tmp_path / "trees"))
+    trees = spark.read.parquet(str(tmp_path / "trees"))
+    edits = spark.createDataFrame([(7, 1, 100_000, 100_010, "changed"), (1, 1, 0, 1, "first")], "doc_id long, seq int, start long, end long, text string")
+    token_counts.edit_trees(trees, edits).write.parquet(str(tmp_path / "edited"))
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "edited")).collect()}
+    want = edge.LONG[:100_000] + "changed" + edge.LONG[100_010:]
+    assert got[7].text == want and got[7].n_tokens_edited == count([want])[0] and 0 < got[7].chars_encoded_again < 4000
+    assert got[8].chars_encoded_again == 0 and got[1].text == "first b c"
+    again = {r.id: r for r in token_counts.edit_trees(spark.read.parquet(str(tmp_path / "edited")), edits).collect()}
+    assert again[7].n_tokens == got[7].n_tokens_edited and again[7].n_tokens_edited == count([want[:100_000] + "changed" + want[100_010:]])[0]
+
+
+def test_registered_query(spark, sf, count):
+    from strandlake.llm import queries
+
+    got = {r.doc_id: r for r in queries.op10_token_counts(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        r, new = got[d.doc_id], token_counts.MAIL.sub("<email>", d.text)
+        assert (r.n_tokens, r.n_tokens_edited) == tuple(count([d.text, new]))
+        assert (r.n_chars, r.n_chars_edited, r.n_edits) == (len(d.text), len(new), len(token_counts.MAIL.findall(d.text)))
