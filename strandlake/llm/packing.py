@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.textnum import Texts, drop_powers, slices
+from strandlake.llm.textnum import Texts, slices
 from strandlake.plans.session import ship_package
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -177,14 +177,15 @@ class Encoder:
     between ASCII white space join to the ids of the text. Each distinct piece of a batch
     is looked up once. Pieces of Latin letters that are not known are folded and merged
     here, many at a time; every other piece goes to the tokenizer, as do pieces above
-    ``LONGEST`` bytes, whose merges would take a round each. A call takes ``CALL`` bytes
-    (or one longer piece). Known pieces are kept in a table of bounded size.
+    ``LONGEST`` bytes, whose merges would take a round each here and a heap there; ids are
+    the same. A call takes ``CALL`` bytes (or one longer piece). Known pieces are kept in a
+    table of bounded size.
     """
 
     #: Fixed value: how the tokenizer parts a piece.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    CALL, LONGEST = 4 << 20, 1 << 16
+    CALL, LONGEST = 2 << 20, 256
 
     def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -254,7 +255,6 @@ class Encoder:
         lead = order[fresh]
         data = t.data
         words = [data[a:b] for a, b in zip(t.word_start[lead].tolist(), t.word_end[lead].tolist(), strict=True)]
-        drop_powers()
         if len(self.known) > self.remember:
             self.known.clear()
         got = list(map(self.known.get, words))
@@ -325,7 +325,7 @@ def _packer(path: str, end_id: int, capacity: int, longest: int, batch: int):
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 1 << 20):
             ids = b.column(0).to_pylist()
             for doc, raw in zip(ids, enc.encode(b.column(1).to_pylist()), strict=True):
                 raw += end
@@ -353,6 +353,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     space (by default the public 49k word vocabulary). ``longest``: what is left of a
     document after its full windows is cut into pieces of so many tokens at most.
     ``batch``: so many pieces are partitioned together, which bounds the memory of a task.
+    Whole texts are encoded, in time that grows as n log n with a word's length at most; a
+    task holds the ids of about a megabyte of texts, or of one longer text.
     A null text is empty and gives one piece with the end id alone. Rows that repeat are
     packed again each; a null id stays null. An empty table gives an empty result.
     Sequence ids hold the partition's number in their upper bits.

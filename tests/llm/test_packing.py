@@ -108,3 +108,23 @@ def test_merges_of_many_bytes_in_one_call(plain):
     ids, count = packing.encoder(PATH).bpe.encode(raw, np.tile([len(w) for w in words], (9 << 20) // 35))
     want = np.frombuffer(plain(" ".join(words)), "<u4")
     assert len(ids) == count.sum() and (ids.reshape(-1, len(want)) == want).all()
+
+
+def test_long_words_take_linear_time(plain):
+    import time
+
+    rng = np.random.default_rng(2)
+    b64 = "".join(np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))[rng.integers(0, 64, 1 << 20)])
+    many = " ".join("".join(c) for c in np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, (95_000, 95))])
+    for text in ("a" * (1 << 20), b64, many, "ab" * 40_000):
+        start = time.perf_counter()
+        got = packing.Encoder(PATH).encode([text])[0]
+        assert time.perf_counter() - start < 60
+        assert got == plain(text)
+
+
+def test_words_about_the_longest_that_are_merged_here(plain):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(np.array(list("abcdeéü1-"))[rng.integers(0, 9, n)])
+    words = [letters(n) for n in range(packing.Encoder.LONGEST - 60, packing.Encoder.LONGEST + 8)]
+    assert packing.Encoder(PATH).encode([" ".join(words), *words]) == [plain(" ".join(words)), *map(plain, words)]
