@@ -3,12 +3,12 @@
 Two tries run per text. Each input partition inserts its normalised texts into a
 compressed radix trie and emits one row per distinct text (smallest id, count), so a
 group that holds a third of all rows leaves each task as one row. These rows are dealt
-by length and content hash, sorted on both within a partition, and inserted as full
-byte strings into a second trie whose terminals store the smallest id and the total.
-A subtree is spilled (emitted and freed) once the sort order has passed it, and the
-first trie spills its largest subtree whenever it outgrows its budget; spilled partial
-groups meet again in the second trie. Memory is bounded by the budget in the first
-trie and by the distinct texts of one length and hash in the second.
+by length and content hash, and each partition inserts its full byte strings, in order,
+into a second trie whose terminals store the smallest id and the total of each text.
+Whenever the second trie outgrows its budget the subtrees that the order has passed are
+spilled: no later text can reach them, so their terminals are final. The first trie
+spills its largest subtree instead; partial groups meet again in the second. Memory is
+bounded by the budget and the longest text.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.plans.session import ship_package
+from strandlake.plans.session import Workspace, dealt_join, hot_keys, ship_package
 
 #: Fixed value: the white space that normalisation collapses, as bytes.
 BLANKS = b"\t\n\x0b\x0c\r"
@@ -126,6 +125,23 @@ class PatriciaTrie:
         self.size -= sizes[k]
         yield from self._walk(node, b"")
 
+    def spill_before(self, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        """Terminals of the subtrees that lie before ``key``, off its path; they are freed.
+
+        Texts that come in order after ``key`` can reach none of them.
+        """
+        node, pos = self.root, 0
+        while pos < len(key):
+            here = key[:pos]
+            for b in sorted(k for k in node.kids if k < key[pos]):
+                kid = node.kids.pop(b)
+                self.size -= self._bytes(kid)
+                yield from self._walk(kid, here)
+            kid = node.kids.get(key[pos])
+            if kid is None or not key.startswith(kid.label, pos):
+                return
+            node, pos = kid, pos + len(kid.label)
+
     def _bytes(self, node: Node) -> int:
         total, stack = 0, [node]
         while stack:
@@ -182,82 +198,91 @@ def _local(trie_bytes: int):
     return run
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie, at, out, seen = PatriciaTrie(), None, [], {}
-
-    def close() -> None:
-        seen.clear()
-        for text, owner, n in trie.drain():
-            sha = hashlib.sha256(text).hexdigest()
-            if seen.setdefault(sha, text) != text:
-                raise ValueError("two texts of one length share a sha256")
-            out.append((len(text), sha, owner, n))
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        out.clear()
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["len", "text_sha256", "keep_id", "group_size"])
-
-    for b in batches:
-        for size, h, text, owner, n in zip(*b.columns, strict=True):
-            if at != (key := (size.as_py(), h.as_py())):
-                close()  # the sort order has passed this subtree
-                at = key
-            trie.insert(text.as_py(), owner.as_py(), n.as_py())
-        if len(out) > 4096:
+def _owners(trie_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, out = PatriciaTrie(), []
+
+        def put(found: Iterator) -> None:
+            for text, owner, n in found:
+                out.append((len(text), hashlib.sha256(text).hexdigest(), owner, n))
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            out.clear()
+            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["len", "text_sha256", "keep_id", "group_size"])
+
+        limit = trie_bytes
+        for b in batches:
+            for text, owner, n in zip(*b.columns, strict=True):
+                text = text.as_py()
+                trie.insert(text, owner.as_py(), n.as_py())
+                if trie.size > limit:
+                    put(trie.spill_before(text))
+                    limit = max(trie_bytes, 2 * trie.size)  # one path is left; a very long text may be above the budget alone
+                    if len(out) > 4096:
+                        yield flush()
+        put(trie.drain())
+        if out:
             yield flush()
-    close()
-    if out:
-        yield flush()
+
+    return run
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 64 << 20) -> DataFrame:
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 48 << 20) -> DataFrame:
     """One row per distinct normalised text: len, text_sha256, keep_id, group_size."""
     ship_package(docs.sparkSession)
-    part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_local(trie_bytes), _PARTIAL)
-    dealt = part.repartition("len", "hash").sortWithinPartitions("len", "hash")
-    return dealt.mapInArrow(_owners, _OWNERS)
+    part = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_local(trie_bytes), _PARTIAL)
+    dealt = part.repartition("len", "hash").sortWithinPartitions("text").select("text", "owner", "n")
+    return dealt.mapInArrow(_owners(trie_bytes), _OWNERS)
 
 
-def text_key(text_col: str):
+def text_key(text_col: str) -> Column:
     """Column: the normalised text, as :func:`normalise` makes it."""
-    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), RUNS, " ")
+    return F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), RUNS, " ")
+
+
+def first_rows(docs: DataFrame, kept: DataFrame, key: Column, sha: Column) -> DataFrame:
+    """The rows of ``docs`` whose (``key``, ``sha``) is in ``kept`` (id, sha), one for each; all their columns.
+
+    Rows travel as one struct, so no name can clash, and are shuffled once.
+    """
+    cols = docs.columns
+    by = lambda k, s: (F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("none"), s.alias("s"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *by(key, sha))
+    rows = rows.join(kept.select(*by(F.col("id"), F.col("sha"))), ["k", "none", "s"], "left_semi")
+    w = Window.partitionBy("k", "none", "s").orderBy(F.lit(1))
+    rows = rows.withColumn("at", F.row_number().over(w)).where("at = 1")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in cols])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 48 << 20) -> DataFrame:
     """One row per row of ``docs``: the id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. Of rows with equal texts the smallest id stays; a null id
     is the largest and stays only where its group has no other. Of rows that repeat both
-    id and text exactly one is kept. Other columns of ``docs`` are not read, so their
-    names cannot clash. An empty table gives an empty result.
+    id and text exactly one is kept. Very long texts are inserted whole. Other columns of
+    ``docs`` are not read, so their names cannot clash. An empty table gives an empty
+    result. Two texts count as equal in the join back if length and sha256 agree.
     """
-    own = owners(docs, id_col, text_col, trie_bytes)
+    work = Workspace(docs.sparkSession, "exact")
+    own = work.written(owners(docs, id_col, text_col, trie_bytes), "owners")
     norm = text_key(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), norm.alias("__t")).select("__id", F.octet_length("__t").cast("long").alias("len"), F.sha2("__t", 256).alias("text_sha256"))
-    rows = rows.groupBy("__id", "len", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
-    j = rows.join(own.hint("shuffle_merge"), ["len", "text_sha256"])
-    copy = F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")
-    j = j.select("*", copy)
-    return j.select(
-        F.col("__id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1)).alias("kept"),
-        "text_sha256",
-    )
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), norm.alias("t")).select("id", F.sha2("t", 256).alias("text_sha256"))
+    rows = rows.groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    total = own.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    j = dealt_join(rows, own.drop("len"), "text_sha256", hot_keys(own, "text_sha256", "group_size", total), "id")
+    j = j.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return j.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Where rows repeat both id and text, one of them stays.
+    As in :func:`exact_dedup`: null texts are empty, a null id stays only where its group
+    has no other, and where rows repeat both id and text one of them stays. An empty table
+    gives an empty result.
     """
-    own = owners(docs, id_col, text_col)
-    cols = docs.columns
-    norm = text_key(text_col)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in cols], F.octet_length(norm).cast("long").alias("__len"), F.sha2(norm, 256).alias("__sha"))
-    own = own.select(F.col("len").alias("__olen"), F.col("text_sha256").alias("__osha"), "keep_id")
-    on = (F.col("__len") == F.col("__olen")) & (F.col("__sha") == F.col("__osha")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("keep_id"))
-    kept = keyed.join(own.hint("shuffle_merge"), on)
-    return kept.dropDuplicates(["keep_id", "__sha"]).select(*[F.col(f"`{c}`") for c in cols])
+    work = Workspace(docs.sparkSession, "exact")
+    kept = work.written(owners(docs, id_col, text_col).select(F.col("keep_id").alias("id"), F.col("text_sha256").alias("sha")), "owners")
+    return first_rows(docs, kept, F.col(f"`{id_col}`").cast("long"), F.sha2(text_key(text_col), 256))

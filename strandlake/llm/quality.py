@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlake.llm.textnum import Texts, drop_powers, slices
+from strandlake.llm.textnum import Texts, slices
 from strandlake.plans.session import ship_package
 
 _CLASSES = {
@@ -37,12 +38,24 @@ for _i, _c in enumerate(_CLASSES.values(), 1):
 N_FEATURES = len(_CLASSES) + 9
 
 
+def _classes(texts: Texts, k: int, step: int = 1 << 18) -> np.ndarray:
+    """Bytes of each text by class, counted in stretches of ``step`` bytes."""
+    out = np.zeros(texts.n * k)
+    for a in range(0, len(texts.buf), step):
+        b = min(len(texts.buf), a + step)
+        lo, hi = (int(np.searchsorted(texts.ends, x)) for x in (a, b - 1))
+        size = np.minimum(texts.ends[lo : hi + 1] + 1, b) - np.maximum(texts.starts[lo : hi + 1], a)
+        doc = np.repeat(np.arange(lo, hi + 1), size)
+        found = np.bincount((doc - lo) * k + _LUT[texts.buf[a:b]], minlength=(hi - lo + 1) * k)
+        out[lo * k : (hi + 1) * k] += found
+    return out.reshape(texts.n, k)
+
+
 def features(texts: Texts) -> np.ndarray:
     """One row of N_FEATURES numbers per text."""
     n, k = texts.n, len(_CLASSES) + 1
     size = (texts.ends - texts.starts).astype(float)
-    doc = np.repeat(np.arange(n, dtype=np.int64), (texts.ends - texts.starts + 1))
-    share = np.bincount(doc * k + _LUT[texts.buf], minlength=n * k).reshape(n, k)[:, 1:].astype(float)
+    share = _classes(texts, k)[:, 1:]
     share[:, list(_CLASSES).index("line")] -= 1  # the one that ends each text in the batch
     letters = share[:, 0] + share[:, 1]
     texts.words()
@@ -76,7 +89,6 @@ def features(texts: Texts) -> np.ndarray:
             distinct / some * np.log1p(some) / 10,
         ]
     )
-    drop_powers()
     return x
 
 
@@ -110,6 +122,19 @@ def bound_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, **options) -> float:
+    """Share of positives among unlabelled rows, estimated without a negative label.
+
+    A first network is fitted on half of the positives under a prior of one half; its
+    scores of the other half and of unlabelled rows give :func:`bound_prior`.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    first = fit(positive[::2], unlabelled, 0.5, **options)
+    rest = positive[1::2] if len(positive) > 1 else positive
+    return bound_prior(first.logits(rest), first.logits(unlabelled))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 12, steps: int = 900, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> Model:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss.
 
@@ -161,14 +186,15 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Model:
     """Fit on at most ``most`` trusted positives and ``most`` unlabelled texts, those with the smallest id hashes.
 
-    Only rows that are not held out are used. The prior is the share of positives among
-    labelled rows where both labels occur, else :func:`bound_prior` of a first fit.
+    Only rows that are not held out are used. Labels other than 1 are not: the prior comes
+    from positives and unlabelled texts alone (:func:`estimated_prior`). Ids that are null
+    or unknown are passed over; of texts that repeat an id each counts. Without positives
+    or unlabelled texts every score is the prior, 0.5.
     """
     ship_package(docs.sparkSession)
     key = F.col(f"`{id_col}`").cast("long")
     lab = labels.select(key.alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull())
     lab = lab.where(~held_out("k"))
-    n = lab.agg(F.sum((F.col("y") == 1).cast("long")), F.count(F.lit(1))).first()
     ids = docs.select(key.alias("k")).where(F.col("k").isNotNull() & ~held_out("k"))
     every = labels.select(key.alias("k"))
     h = F.xxhash64(F.lit(1), "k")
@@ -182,30 +208,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
     order = np.lexsort((*x.T[::-1], kind))  # the fit must not depend on the order of tasks
     kind, x = kind[order], x[order]
     positive, unlabelled = x[kind == 1], x[kind == 0]
-    good, total = (n[0] or 0), n[1]
-    if 0 < good < total:
-        prior = good / total
-    elif len(positive) and len(unlabelled):
-        first = fit(positive[::2], unlabelled, 0.5, **options)
-        prior = bound_prior(first.logits(positive[1::2] if len(positive) > 1 else positive), first.logits(unlabelled))
-    else:
-        prior = 0.5
-    return fit(positive, unlabelled, float(np.clip(prior, 0.02, 0.98)), **options)
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled, **options), **options)
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` as a struct ``doc``, with score and predicted.
 
-    Null texts count as empty; rows that repeat get the same score; an empty table gives
-    an empty result.
+    Null texts count as empty; rows that repeat get the same score; whole texts are read,
+    in stretches of bounded size; columns of any name come back inside ``doc``; an empty
+    table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        both = (pa.record_batch([b.column(0), b.column(0).field(at).cast(pa.string())], names=["doc", "text"]) for b in batches)
+        for b in slices(both, 1):
             s = model.scores(features(Texts(b.column(1).to_pylist())))
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["doc", "score"])
 
-    out = d.mapInArrow(run, f"doc {d.schema['doc'].dataType.simpleString()}, score double")
+    out = d.mapInArrow(run, T.StructType([d.schema["doc"], T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))

@@ -18,6 +18,8 @@ PRIME, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+#: Bytes that are hashed together.
+CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -42,12 +44,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def drop_powers(limit: int = 1 << 23) -> None:
-    """Forget tables that one very long text has made large."""
-    if "p" in _powers and len(_powers["p"]) > limit:
-        _powers.clear()
-
-
 class Texts:
     """A batch of texts. ``buf``: bytes; ``starts``, ``ends``: of each text in ``buf``."""
 
@@ -70,13 +66,43 @@ class Texts:
         self.word_doc = np.repeat(np.arange(self.n), np.diff(self.words_from))
 
     def word_hashes(self, fold: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; ``fold``: ASCII letters in lower case."""
+        """A 64-bit hash of each word's bytes; ``fold``: ASCII letters in lower case.
+
+        Words are taken in stretches of ``CHUNK`` bytes, and a longer word in parts, so
+        that the arrays beside the buffer stay small whatever the length of a text.
+        """
+        n = len(self.word_start)
+        out = np.empty(n, _M)
+        i = 0
         with np.errstate(over="ignore"):
-            p, inv = _power(len(self.buf) + 1)
-            b = np.frombuffer(self.data.lower(), np.uint8) if fold else self.buf
-            run = np.zeros(len(b) + 1, _M)
-            np.cumsum((b.astype(_M) + _M(1)) * p[: len(b)], out=run[1:])
-            return mix((run[self.word_end] - run[self.word_start]) * inv[self.word_start])
+            while i < n:
+                a = int(self.word_start[i])
+                j = max(i + 1, int(np.searchsorted(self.word_end, a + CHUNK, "right")))
+                b = int(self.word_end[j - 1])
+                if b - a > CHUNK:
+                    out[i] = self._long_word(a, b, fold)
+                else:
+                    p, inv = _power(CHUNK + 1)
+                    seg = self._bytes(a, b, fold)
+                    run = np.zeros(len(seg) + 1, _M)
+                    np.cumsum((seg.astype(_M) + _M(1)) * p[: len(seg)], out=run[1:])
+                    start = self.word_start[i:j] - a
+                    out[i:j] = (run[self.word_end[i:j] - a] - run[start]) * inv[start]
+                i = j
+            return mix(out)
+
+    def _bytes(self, a: int, b: int, fold: bool) -> np.ndarray:
+        part = self.data[a:b]
+        return np.frombuffer(part.lower() if fold else part, np.uint8)
+
+    def _long_word(self, a: int, b: int, fold: bool) -> np.uint64:
+        p, _ = _power(CHUNK + 1)
+        total, times, step = 0, 1, pow(PRIME, CHUNK, 1 << 64)
+        for k in range(a, b, CHUNK):
+            seg = self._bytes(k, min(b, k + CHUNK), fold)
+            total += times * int(((seg.astype(_M) + _M(1)) * p[: len(seg)]).sum(dtype=_M))
+            times = times * step % (1 << 64)
+        return _M(total % (1 << 64))
 
 
 def shingles(h: np.ndarray, words_from: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +130,7 @@ def shingles(h: np.ndarray, words_from: np.ndarray, n: int = 5) -> tuple[np.ndar
     return mix(out), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 384 << 10) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches with about ``most`` bytes of text (one longer text is a batch of its own)."""
     for b in batches:
         if not b.num_rows:

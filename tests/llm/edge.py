@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-EXTRA = ["size", "kept", "score", "label", "text_sha256", "doc", "id", "fp", "page", "source_size", "len"]
+EXTRA = ["size", "kept", "score", "label", "text_sha256", "doc", "id", "fp", "page", "source_size", "len", "keep_id", "__id", "__sha", "__len", "__kid", "sha", "row", "k", "s", "at", "none", "dotted.name", "tgt.text"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in EXTRA]

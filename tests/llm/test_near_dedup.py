@@ -8,9 +8,17 @@ from strandlake.llm import near_dedup
 from tests.llm import edge
 
 
+def counted_weights(texts, n=5, share=near_dedup.COMMON):
+    freq = Counter()
+    for t in texts:
+        freq.update(set(near_dedup.keyed([t], n)[2].tolist()))
+    some = sorted((k, c) for k, c in freq.items() if c >= max(2, share * len(texts)))
+    return near_dedup.Weights(np.array([k for k, _ in some], np.uint64), np.array([c for _, c in some], np.int64), len(texts), share)
+
+
 def brute(rows, n=5, similar=0.8, weights=None):
-    """Classes by comparing all texts."""
-    weights = weights or near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 50, 0.1)
+    """Classes by comparing all texts, with frequencies counted over all of them."""
+    weights = weights or counted_weights([t for _, t in rows], n)
     sets = []
     for _, t in rows:
         _, _, key, tf = near_dedup.keyed([t], n)
@@ -65,20 +73,73 @@ def corpus(seed=0):
 def test_classes_against_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for block in (4096, 3):
-        assert classes(near_dedup.near_duplicates(df, block=block)) == brute(rows)
+    for block, size in ((4096, 24 << 20), (3, 24 << 20), (4096, 3000)):
+        assert classes(near_dedup.near_duplicates(df, block=block, block_bytes=size)) == brute(rows)
 
 
-def test_common_shingles_weigh_less(spark):
+def test_frequencies_are_exact_from_the_least_count_up(spark):
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    key, freq = near_dedup.frequent_shingles(df.repartition(7), 5)
     want = Counter()
     for _, t in rows:
         want.update(set(near_dedup.keyed([t])[2].tolist()))
-    assert dict(zip(key.tolist(), freq.tolist(), strict=True)) == {k: c for k, c in want.items() if c >= 5}
-    w = near_dedup.Weights(*near_dedup.frequent_shingles(df, 5), 4, 0.1)
-    assert classes(near_dedup.near_duplicates(df, least_common=4, share=0)) == brute(rows, weights=w)
+    for least in (2, 5, 9):
+        key, freq = near_dedup.frequent_shingles(df.repartition(7), least)
+        assert dict(zip(key.tolist(), freq.tolist(), strict=True)) == {k: c for k, c in want.items() if c >= least}
+
+
+def test_common_shingles_weigh_less(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    w = counted_weights([t for _, t in rows])
+    common = w.key[np.argmax(w.idf * -1)]
+    assert w(np.array([common, 1], np.uint64), np.array([1, 1]))[0] < 1 == w(np.array([1], np.uint64), np.array([1]))[0]
+    by_df = dict(zip(near_dedup.frequent_shingles(df, 2)[1].tolist(), w.idf.tolist(), strict=True))
+    assert [by_df[k] for k in sorted(by_df)] == sorted(by_df.values(), reverse=True)
+    total, share = len(rows), near_dedup.COMMON
+    for f, v in by_df.items():
+        assert v == pytest.approx((1 + np.log(total / f) / np.log(1 / share)) / (1 + np.log(total) / np.log(1 / share)))
+
+
+def test_rare_shingles_of_large_tables_are_alike():
+    w = near_dedup.Weights(np.array([5], np.uint64), np.array([10_000]), 1_000_000, 0.001)
+    assert w(np.array([5, 6], np.uint64), np.array([1, 1])).tolist() == pytest.approx([(1 + 2 / 3) / 2, 1])
+
+
+def test_recall_on_documents(spark):
+    """All true pairs by brute force over an inverted index of whole texts, against the classes found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    w = counted_weights([t for _, t in rows])
+    sets, having = [], defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        _, _, key, tf = near_dedup.keyed([t])
+        sets.append((key, w(key, tf)))
+        for k in key.tolist():
+            having[k].append(i)
+    seen, pairs = set(), []
+    for h in having.values():
+        for a in range(len(h)):
+            for b in range(a):
+                if (h[b], h[a]) not in seen:
+                    seen.add((h[b], h[a]))
+                    if near_dedup.similarity(sets[h[a]], sets[h[b]]) >= 0.8:
+                        pairs.append((rows[h[b]][0], rows[h[a]][0]))
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 50 and found >= 0.98 * len(pairs)
+    # and no class holds more than brute force joins
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert all(find(i) == find(c) for i, c in got.items())
 
 
 def test_sampling_agrees_with_similarity():

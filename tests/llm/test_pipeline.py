@@ -1,11 +1,10 @@
 import re
 
-import numpy as np
-
 import corpus_pipeline
 from strandlake.llm import mixing, near_dedup, quality
 from strandlake.plans.session import written
 from tests.llm import edge
+from tests.llm.test_near_dedup import counted_weights
 
 
 def test_stages_in_turn(spark, sf):
@@ -23,7 +22,7 @@ def test_stages_in_turn(spark, sf):
     assert sorted(r.doc_id for r in alone.collect()) == sorted(first.values())
 
     near = written(corpus_pipeline.STAGES[2][1](spark, alone, sf), "t")
-    w = near_dedup.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 50, 0.1)
+    w = counted_weights([r.text for r in alone.collect()])
     sets = {}
     for r in alone.collect():
         _, _, key, tf = near_dedup.keyed([r.text])

@@ -50,3 +50,31 @@ def test_edges(spark):
     assert blank.scores(np.zeros((1, quality.N_FEATURES)))[0] == 0.5
     m = quality.train(edge.table(spark), labels.limit(0), steps=5)
     assert quality.score(edge.table(spark), m).count() == len(edge.rows())
+
+
+def test_registered_query_against_plain_python(spark, sf):
+    """The whole query again over lists: who is learnt from, the prior, the fit and every row."""
+    from strandlake.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    label = {r.doc_id: r.quality for r in labels}
+    of = lambda ids: np.array(sorted((quality.features(Texts([t]))[0].tolist() for i, t in ids)))
+    positive = of((d.doc_id, d.text) for d in docs if not held(d.doc_id) and label.get(d.doc_id) == 1)
+    unlabelled = of((d.doc_id, d.text) for d in docs if not held(d.doc_id) and d.doc_id not in label)
+    prior = quality.estimated_prior(positive, unlabelled)
+    model = quality.fit(positive, unlabelled, prior)
+    got = {r.doc_id: r for r in queries.op1_quality(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r, s = got[d.doc_id], model.scores(quality.features(Texts([d.text])))[0]
+        assert r.held_out == held(d.doc_id) and abs(r.score - s) < 1e-6 and r.predicted == int(r.score >= 0.3)
+
+
+def test_prior_needs_no_negative_label(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.train(docs, labels), quality.train(docs, labels.selectExpr("doc_id", "case when quality = 1 then 1 else 7 end as quality"))
+    assert a.prior == b.prior and 0.5 < a.prior < 0.98
+    assert np.array_equal(a.w1, b.w1)
