@@ -1,23 +1,23 @@
 """FASTA and FASTQ as DataFrames.
 
-FASTA is read by the text source with a record separator, so large files are split and
-codecs follow the suffix. FASTQ needs a parser that counts lines, because a quality line
-may begin like a header; each file is parsed as a stream within one task.
+Both are read by the text source with a record separator, so large files are split and
+codecs follow the suffix. A FASTQ quality line may begin like a header: then a record
+comes in two chunks, which are told apart by their lines, since no sequence begins with
+a plus sign. Only gzip files are one task each.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions.sequences import string_hash
-from strandlake.plans.session import ship_package
 
 READ = "id string, d int, seq string, header string"
 
@@ -43,12 +43,32 @@ def parse_fasta(chunks: DataFrame, column: str = "value", keep: tuple[str, ...]
     return d.select(*keep, i.alias("id"), dd.alias("d"), F.lower(F.regexp_replace(body, "\\s", "")).alias("seq"), F.substr(head, F.length(name) + 1).alias("header"))
 
 
+def _first_of_file(at: Column, path: Column) -> Column:
+    """True for the first row of each file, given the offset of a row's block in its file.
+
+    Rows of a file's first block follow one another in a task; only a hash of the path
+    leaves the JVM, and nothing for other blocks.
+    """
+
+    @F.pandas_udf("boolean")
+    def first(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        last = None
+        for h in hashes:
+            before = h.shift(1)
+            if len(h):
+                before.iloc[0] = last
+            yield h.notna() & (h != before)
+            last = h.iloc[-1] if len(h) else last
+
+    return first(F.when(at == 0, F.xxhash64(path).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """id, d, seq, header. Plain files and bzip2 are split; text before the first header is dropped."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_block_start").alias("at"))
+    """id, d, seq, header. Plain files and bzip2 are split; text before the first header of each file is dropped."""
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", _first_of_file(meta["file_block_start"], meta["file_path"]).alias("first"))
     # Only the first chunk of a file keeps its header sign; a first chunk without one is no record.
-    first = (F.col("at") == 0) & (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
-    return parse_fasta(raw.where(~first | F.col("value").startswith(">")))
+    return parse_fasta(raw.where(~F.col("first") | F.col("value").startswith(">")))
 
 
 def read_fasta_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -57,55 +77,49 @@ def read_fasta_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def blocks(reads: DataFrame) -> DataFrame:
-    """One row per partition; the array must fit in a task, as splits do."""
-    r = reads.select(F.spark_partition_id().cast("long").alias("block"), F.struct("id", "d", "seq").alias("r"))
-    return r.groupBy("block").agg(F.collect_list("r").alias("reads"))
+    """One row per partition with an array of its (id, d, seq), put together where it is; it must fit in a task, as splits do."""
+    r = reads.select(F.struct("id", "d", "seq").alias("r"))
+    kind = r.schema["r"].dataType
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0) for b in batches if b.num_rows]
+        if held:
+            all_ = pa.concat_arrays(held)
+            block = TaskContext.get().partitionId()
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(all_)], pa.int32()), all_)], names=["block", "reads"])
+
+    return r.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("reads", T.ArrayType(kind))]))
 
-def _open(name: str, data: bytes) -> io.TextIOBase:
-    raw = io.BytesIO(data)
-    f = gzip.open(raw) if name.endswith(".gz") else bz2.open(raw) if name.endswith(".bz2") else raw
-    return io.TextIOWrapper(f, encoding="utf-8", errors="replace", newline=None)
 
+def parse_fastq(chunks: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, seq from text that lies between one ``@`` at the start of a line and the next.
 
-def fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """(name, sequence) of strict four-line records; blank lines between records are passed over."""
-    it = iter(lines)
-    for head in it:
-        head = head.rstrip("\n")
-        if not head:
-            continue
-        if not head.startswith("@"):
-            raise ValueError(f"not a record: {head[:60]}")
-        seq = next(it, "").rstrip("\n")
-        plus, quality = next(it, "").rstrip("\n"), next(it, "").rstrip("\n")
-        if not plus.startswith("+") or len(quality) != len(seq):
-            raise ValueError(f"a record is cut off or malformed: {head[:60]}")
-        yield head[1:].split()[0] if head[1:].split() else "", seq
+    Records have four lines; blank lines between them are passed over. A chunk of name,
+    sequence and plus line is a record whose quality begins with ``@``; the rest of that
+    quality is the next chunk, a single line, which is no record. Anything else is an error.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.col(column), "\r", ""), "^@", "")
+    lines = F.split(F.regexp_replace(text, "\n+$", ""), "\n")
+    d = chunks.select(*keep, F.regexp_replace(text, "\n+$", "").alias("t"), F.split(text, "\n").alias("l"), F.size(lines).alias("n"))
+    at = lambda i: F.get("l", F.lit(i))
+    # An empty sequence or quality leaves blank lines that the count without them does not show.
+    plus = F.coalesce(at(2), F.lit("")).startswith("+")
+    whole = plus & (F.length(at(1)) == F.length(F.coalesce(at(3), F.lit("")))) & (F.col("n") <= 4)
+    begun = plus & (F.col("n") == 3) & (F.length(at(1)) > 0)
+    rest = (F.col("n") == 1) & ~plus
+    bad = F.raise_error(F.concat(F.lit("a record is cut off or malformed: "), F.substring("t", 1, 60))).cast("string")
+    d = d.where(~rest).select(*keep, "l", F.when(whole | begun, F.regexp_extract(at(0), "^([^ \\t]*)", 1)).otherwise(bad).alias("name"))
+    return d.select(*keep, "name", at(1).alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], fold: bool = True, with_file: bool = False) -> DataFrame:
     """id, d, seq; ``with_file`` puts file_hash, the 32-bit hash of the file name, before them.
 
     ``fold``: sequences in lower case, as k-mer functions expect. Quality is dropped.
+    Plain files and bzip2 are split. A file whose first line is no header is an error.
     """
-    ship_package(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path_, data in zip(b.column(0), b.column(1), strict=True):
-                file = path_.as_py().rsplit("/", 1)[-1]
-                held: list[tuple[str, str]] = []
-                for rec in fastq_records(_open(file, data.as_py())):
-                    held.append(rec)
-                    if len(held) >= 10_000:
-                        yield pa.record_batch([pa.array([file] * len(held)), *(pa.array(c) for c in zip(*held, strict=True))], names=["file", "name", "seq"])
-                        held = []
-                if held:
-                    yield pa.record_batch([pa.array([file] * len(held)), *(pa.array(c) for c in zip(*held, strict=True))], names=["file", "name", "seq"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    r = files.mapInArrow(run, "file string, name string, seq string")
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    r = parse_fastq(raw, keep=("file",))
     i, d = _name_parts(F.col("name"))
     seq = F.lower("seq") if fold else F.col("seq")
     out = [i.alias("id"), d.alias("d"), seq.alias("seq")]
@@ -128,10 +142,10 @@ def count_sequences(spark: SparkSession, path: str | list[str]) -> int:
 
 
 def fasta_text(key: Column | None, value: Column) -> Column:
-    """``>key`` and the value on a line of its own; a null key gives ``>value``, two nulls give null."""
-    if key is None:
-        return F.when(value.isNotNull(), F.concat(F.lit(">"), value))
-    return F.when(key.isNotNull() & value.isNotNull(), F.concat(F.lit(">"), key, F.lit("\n"), value)).when(key.isNotNull(), F.concat(F.lit(">"), key)).otherwise(F.when(value.isNotNull(), F.concat(F.lit(">"), value)))
+    """``>key`` and the value on a line of its own; a null key is written as ``value``, two nulls give null."""
+    name = F.lit(None).cast("string") if key is None else key
+    head = F.concat(F.lit(">"), F.coalesce(name, F.when(value.isNotNull(), F.lit("value"))))
+    return F.when(head.isNotNull(), F.concat_ws("\n", head, value))
 
 
 def write_fasta(df: DataFrame, path: str, key: str = "id", value: str = "seq", compression: str | None = None, mode: str = "errorifexists", with_length: bool = False) -> None:
@@ -148,8 +162,6 @@ def write_fasta(df: DataFrame, path: str, key: str = "id", value: str = "seq", c
 
 def serialised(c: Column, kind) -> Column:
     """A value as nested text: tuples in parentheses, bags in braces, maps in brackets with #."""
-    from pyspark.sql import types as T
-
     empty = F.lit("")
     if isinstance(kind, T.StructType):
         inner = F.concat_ws(",", *[F.coalesce(serialised(c[f.name], f.dataType), empty) for f in kind.fields])

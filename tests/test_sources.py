@@ -53,7 +53,7 @@ def test_fastq(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "acgt"), (None, "gg"), (None, None)], "id string, seq string")
     fasta.write_fasta(df.coalesce(1), str(tmp_path / "o"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == [">a", "acgt", ">gg"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == [">a", "acgt", ">value", "gg"]
     nested = spark.createDataFrame([((1, "x"), [2, 3], {"k": 4.5}, None)], "t struct<a:int,b:string>, b array<int>, m map<string,double>, n int")
     fasta.write_text(nested, str(tmp_path / "t"), delimiter="|", compression="gzip")
     assert spark.read.text(str(tmp_path / "t")).first().value == "(1,x)|{2,3}|[k#4.5]|"
@@ -83,3 +83,59 @@ def test_whole_files(spark, tmp_path):
     assert {r.header for r in fasta.read_fasta(spark, str(tmp_path / "w")).collect()} == {" length=4", " length=2"}
     (tmp_path / "b.fastq").write_text("@x/1\nAC\n+\n!!\n@y\nGT\n+\n!!\n")
     assert fasta.read_fastq_blocks(spark, str(tmp_path / "b.fastq")).selectExpr("sum(size(reads)) as n").first().n == 2
+
+
+def split(spark, size):
+    from contextlib import contextmanager
+
+    @contextmanager
+    def small():
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+    return small()
+
+
+def test_junk_of_each_file_is_dropped(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.fa").write_text("; a comment line\n" * (i % 2) + f">r{i}\nacgt\n>s{i}\ngg\n" + ">long\n" * (i == 7) + "acgt\n" * 3000 * (i == 7))
+    for size in (64 << 20, 2048):
+        with split(spark, size):
+            df = fasta.read_fasta(spark, str(tmp_path))
+            assert df.where("id <> 'long'").count() == 80
+            assert {r.id for r in df.collect()} == {f"{c}{i}" for i in range(40) for c in "rs"} | {"long"}
+
+
+@pytest.mark.parametrize("suffix", ["", ".bz2", ".gz"])
+def test_fastq_is_split(spark, tmp_path, suffix):
+    import random
+
+    rng = random.Random(1)
+    want, text = [], ""
+    for i in range(1500):
+        n = rng.randint(0, 80)
+        seq, quality = "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("@+>!IJ@", k=n))
+        end = "\r\n" if i % 3 == 0 else "\n"
+        text += f"@r{i}/{i % 2 + 1} x{end}{seq}{end}+{end}{quality}{end}" + "\n" * (i % 50 == 0)
+        want.append((f"r{i}", i % 2 + 1, seq.lower()))
+    p = tmp_path / f"q.fastq{suffix}"
+    {"": open, ".bz2": bz2.open, ".gz": gzip.open}[suffix](p, "wt", newline="").write(text)
+    for size in (64 << 20, 4096, 700):
+        with split(spark, size):
+            df = fasta.read_fastq(spark, str(p))
+            if not suffix and size < 5000:
+                assert df.rdd.getNumPartitions() > 8
+            assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+            assert fasta.read_fastq_blocks(spark, str(p)).selectExpr("sum(size(reads)) as n").first().n == 1500
+
+
+def test_malformed_fastq(spark, tmp_path):
+    p = tmp_path / "q.fastq"
+    for bad in ("@a\nACGT\n", "@a\nACGT\nxx\n!!!!\n", "@a\nACGT\n+\n!!!!!\n", "ACGT\n+\n!!!!\n@b\nA\n+\n!\n", "@a\nA\n+\n!\nmore\n"):
+        p.write_text(bad)
+        with pytest.raises(Exception, match="cut off or malformed"):
+            fasta.read_fastq(spark, str(p)).collect()
