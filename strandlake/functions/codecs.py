@@ -1,4 +1,4 @@
-"""Packed forms of sequences, from built-in expressions.
+"""Packed forms of sequences, in numpy over Arrow batches.
 
 ``pack`` keeps three bases a byte: 32 + 25 i + 5 j + k, with 224 + 5 i + j or 160 + i for
 what is left at the end. ``pack7`` is a bit stream: two bits with the number of filling
@@ -7,56 +7,92 @@ bases, then seven bits for each group of three, holding its number plus one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import ALPHABET
 
+_DIGIT = np.full(256, len(ALPHABET) - 1, np.uint8)  # any other character counts as n
+_DIGIT[list(ALPHABET.encode())] = range(len(ALPHABET))
+_LETTER = np.frombuffer(ALPHABET.encode(), np.uint8)
 
-def _index(c: Column) -> Column:
-    """Place in the alphabet; any other character counts as n."""
-    at = F.instr(F.lit(ALPHABET), c)
-    return F.when((at == 0) | (c == ""), len(ALPHABET)).otherwise(at) - 1
 
+def _digits(seq: str) -> np.ndarray:
+    return _DIGIT[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
 
-def _groups(seq: Column) -> Column:
-    return F.regexp_extract_all(seq, F.lit("(?s).{1,3}"), 0)
 
+def _text(digits: np.ndarray) -> str:
+    return _LETTER[digits].tobytes().decode()
 
-def _at(group: Column, i: int) -> Column:
-    return _index(F.substring(group, i, 1))
 
+def _three(d: np.ndarray) -> np.ndarray:
+    return d.reshape(-1, 3) @ np.array([25, 5, 1], np.uint8)
 
-def pack(seq: Column) -> Column:
-    """Binary; upper case is not folded, so it packs as n."""
-    code = F.transform(
-        _groups(seq),
-        lambda g: F.lpad(
-            F.hex(
-                F.when(F.length(g) == 3, 32 + 25 * _at(g, 1) + 5 * _at(g, 2) + _at(g, 3)).when(F.length(g) == 2, 224 + 5 * _at(g, 1) + _at(g, 2)).otherwise(160 + _at(g, 1))
-            ),
-            2,
-            "0",
-        ),
-    )
-    return F.unhex(F.array_join(code, ""))
 
+def _from_three(v: np.ndarray) -> np.ndarray:
+    return np.column_stack([v // 25, v // 5 % 5, v % 5]).reshape(-1)
 
-def _letter(i: Column) -> Column:
-    return F.substring(F.lit(ALPHABET), (i + 1).cast("int"), F.lit(1))
 
+def pack_bytes(seq: str) -> bytes:
+    d = _digits(seq)
+    whole = len(d) // 3 * 3
+    tail = d[whole:].tolist()
+    end = [[], [160 + tail[0]] if tail else [], [224 + 5 * tail[0] + tail[1]] if len(tail) == 2 else []][len(tail)]
+    return (_three(d[:whole]) + np.uint8(32)).astype(np.uint8).tobytes() + bytes(end)
 
-def unpack(packed: Column) -> Column:
-    def one(h: Column) -> Column:
-        v = F.conv(h, 16, 10).cast("int")
-        three, two = v - 32, v - 224
-        return (
-            F.when(v >= 224, F.concat(_letter(F.floor(two / 5)), _letter(two % 5)))
-            .when(v >= 160, _letter(v - 160))
-            .otherwise(F.concat(_letter(F.floor(three / 25)), _letter(F.floor(three / 5) % 5), _letter(three % 5)))
-        )
 
-    return F.array_join(F.transform(F.regexp_extract_all(F.hex(packed), F.lit(".."), 0), one), "")
+def unpack_bytes(packed: bytes) -> str:
+    v = np.frombuffer(packed, np.uint8)
+    if (v < 160).all():
+        return _text(_from_three(v - np.uint8(32)))
+    parts, at = [], 0
+    for i in [*np.flatnonzero(v >= 160).tolist(), len(v)]:
+        parts.append(_text(_from_three(v[at:i] - np.uint8(32))))
+        if i < len(v):
+            x = int(v[i])
+            parts.append(_text(np.array([(x - 224) // 5, (x - 224) % 5] if x >= 224 else [x - 160])))
+        at = i + 1
+    return "".join(parts)
+
+
+def pack7_bytes(seq: str) -> bytes:
+    d = _digits(seq)
+    fill = -len(d) % 3
+    codes = _three(np.append(d, np.full(fill, len(ALPHABET) - 1, np.uint8))) + np.uint8(1)
+    bits = np.unpackbits(codes.astype(np.uint8)[:, None], axis=1)[:, 1:].reshape(-1)
+    return np.packbits(np.concatenate([np.array([fill >> 1, fill & 1], np.uint8), bits])).tobytes()
+
+
+def unpack7_bytes(packed: bytes) -> str:
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8))
+    if len(bits) < 2:
+        return ""
+    fill = 2 * int(bits[0]) + int(bits[1])
+    n = (len(bits) - 2) // 7
+    codes = bits[2 : 2 + 7 * n].reshape(n, 7) @ (1 << np.arange(6, -1, -1, dtype=np.uint8))
+    d = _from_three(codes[codes > 0] - 1)
+    return _text(d[: len(d) - fill] if fill else d)
+
+
+def _column(work: Callable, kind: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else work(x))
+
+    return run
+
+
+def pack(seq: Column) -> Column:
+    """Binary; upper case is not folded, so it packs as n."""
+    return _column(pack_bytes, "binary")(seq)
+
+
+def unpack(packed: Column) -> Column:
+    return _column(unpack_bytes, "string")(packed)
 
 
 def packed_size(seq: Column) -> Column:
@@ -65,19 +101,8 @@ def packed_size(seq: Column) -> Column:
 
 
 def pack7(seq: Column) -> Column:
-    fill = F.pmod(3 - F.length(seq) % 3, F.lit(3)).cast("int")
-    whole = F.concat(seq, F.repeat(F.lit("n"), fill))
-    codes = F.transform(_groups(whole), lambda g: F.lpad(F.bin((25 * _at(g, 1) + 5 * _at(g, 2) + _at(g, 3) + 1).cast("long")), 7, "0"))
-    bits = F.concat(F.lpad(F.bin(fill.cast("long")), 2, "0"), F.array_join(codes, ""))
-    size = (F.ceil(F.length(bits) / 8) * 8).cast("int")
-    bits = F.rpad(bits, size, "0")
-    octets = F.transform(F.regexp_extract_all(bits, F.lit(".{8}"), 0), lambda b: F.lpad(F.conv(b, 2, 16), 2, "0"))
-    return F.when(seq.isNull(), None).otherwise(F.unhex(F.array_join(octets, "")))
+    return _column(pack7_bytes, "binary")(seq)
 
 
 def unpack7(packed: Column) -> Column:
-    bits = F.array_join(F.transform(F.regexp_extract_all(F.hex(packed), F.lit(".."), 0), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
-    fill = F.conv(F.substring(bits, 1, 2), 2, 10).cast("int")
-    codes = F.filter(F.transform(F.regexp_extract_all(F.substring(bits, F.lit(3), F.length(bits)), F.lit(".{7}"), 0), lambda b: F.conv(b, 2, 10).cast("int")), lambda v: v > 0)
-    text = F.array_join(F.transform(codes, lambda v: F.concat(_letter(F.floor((v - 1) / 25)), _letter(F.floor((v - 1) / 5) % 5), _letter((v - 1) % 5))), "")
-    return F.when(packed.isNull(), None).otherwise(F.substring(text, F.lit(1), F.length(text) - fill))
+    return _column(unpack7_bytes, "string")(packed)

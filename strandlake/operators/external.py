@@ -7,16 +7,19 @@ any executable that keeps the contract can take the place of the usual ones.
 
 from __future__ import annotations
 
+import re
 import shlex
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.plans.session import ship_package
 
@@ -38,12 +41,14 @@ class Tool:
     timeout: float = 3600.0
     missing_ok: bool = False
 
-    def run(self, files: dict[str, str]) -> str:
+    def run(self, files: dict[str, str | Iterator[str]], **values: object) -> str:
+        """Write ``files``, run the commands and return the result; ``values`` fill the template too."""
         with tempfile.TemporaryDirectory() as tmp:
-            names = {"dir": tmp}
+            names = {"dir": tmp, **{k: str(v) for k, v in values.items()}}
             for name, text in files.items():
                 path = Path(tmp, f"{name}.fa")
-                path.write_text(text)
+                with path.open("w") as f:
+                    f.writelines([text] if isinstance(text, str) else text)
                 names[name] = str(path)
             out = ""
             for c in [*self.setup, self.command]:
@@ -67,7 +72,7 @@ class Tool:
 
 #: The usual programs; flags can be changed by building another Tool.
 TOOLS = {
-    "blast": Tool("blastall -m 8 -p blastn -b 1000000 -a 1 -i {query} -d {reads} -o {dir}/out", "{dir}/out", ["formatdb -o T -p F -i {reads}"]),
+    "blast": Tool("blastall -m 8 -p blastn -b 1000000 -a 1 -z {effective} -e {evalue} -i {query} -d {reads} -o {dir}/out", "{dir}/out", ["formatdb -o T -p F -i {reads}"]),
     "blat": Tool("blat {reads} {query} -out=blast8 {dir}/out", "{dir}/out"),
     "cap3": Tool("cap3 {reads}", "{reads}.cap.contigs"),
     "velvet": Tool("velvetg {dir}/v", "{dir}/v/contigs.fa", ["velveth {dir}/v 31 -short {reads}"], missing_ok=True),
@@ -76,6 +81,55 @@ TOOLS = {
 }
 
 
+def configured(spark: SparkSession, name: str) -> Tool:
+    """The usual program of that name with what the session sets below ``strandlake.<name>.``.
+
+    Settings: command, output, setup (commands parted by ``;``), timeout, missing_ok. The
+    session's own settings stand above those of its submission and of its defaults file.
+    """
+    base = TOOLS[name]
+    get = lambda k: spark.conf.get(f"strandlake.{name}.{k}", None)
+    changes: dict = {k: v for k in ("command", "output") if (v := get(k)) is not None}
+    if (v := get("setup")) is not None:
+        changes["setup"] = [c.strip() for c in v.split(";") if c.strip()]
+    if (v := get("timeout")) is not None:
+        changes["timeout"] = float(v)
+    if (v := get("missing_ok")) is not None:
+        changes["missing_ok"] = v.lower() == "true"
+    return replace(base, **changes)
+
+
+def stream_through(df: DataFrame, command: str, schema: str, delimiter: str = "\t", timeout: float = 3600.0) -> DataFrame:
+    """Rows of each partition, as delimited text, through a program; its lines are the new rows.
+
+    Nulls go in as empty fields; fields come back as strings and are cast to ``schema``. The
+    program reads and writes files of its own, so a partition is never held in memory.
+    """
+    ship_package(df.sparkSession)
+    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    lines = df.select(F.concat_ws(delimiter, *cols).alias("line"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tempfile.TemporaryDirectory() as tmp:
+            given, made = Path(tmp, "in"), Path(tmp, "out")
+            with given.open("w") as f:
+                f.writelines(f"{x}\n" for pdf in frames for x in pdf["line"])
+            with given.open() as i, made.open("w") as o:
+                try:
+                    done = subprocess.run(shlex.split(command), stdin=i, stdout=o, stderr=subprocess.PIPE, cwd=tmp, timeout=timeout)
+                except (OSError, subprocess.TimeoutExpired) as e:
+                    raise ToolError(f"{command}: {e}") from e
+            if done.returncode:
+                raise ToolError(f"{command} ended with {done.returncode}: {done.stderr[-500:]!r}")
+            with made.open() as o:
+                while some := list(islice(o, 10_000)):
+                    yield pd.DataFrame({"line": [x.rstrip("\n") for x in some]})
+
+    parts = F.split("line", re.escape(delimiter))
+    fields = T.StructType.fromDDL(schema).fields
+    return lines.mapInPandas(run, "line string").select(*[F.get(parts, F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+
+
 def scaled_evalue(evalue: float, partition_bases: int, total_bases: int) -> float:
     """An e-value for one partition that equals ``evalue`` for the whole database."""
     return evalue * partition_bases / max(1, total_bases)
@@ -97,23 +151,34 @@ def _named(pdf: pd.DataFrame) -> list[tuple[str, str]]:
     return [(f"{i}/{d}" if d is not None and str(d) not in ("", "0", "nan") else str(i), s) for i, d, s in zip(pdf["id"], pdf["d"], pdf["seq"], strict=True)]
 
 
-def blast(reads: DataFrame, query: str, tool: Tool = TOOLS["blast"]) -> DataFrame:
+def blast(reads: DataFrame, query: str, tool: Tool = TOOLS["blast"], evalue: float = 10.0, total_bases: int | None = None) -> DataFrame:
     """geneid, id, d, seq: hits of each partition's reads against the sequences of ``query`` (FASTA text).
 
-    Column 0 of the program's rows is the gene, column 1 the read as id/d.
+    The program runs once for a partition. Column 0 of its rows is the gene, column 1 the
+    read as id/d; all reads of that name are hits. ``evalue`` holds for the whole database:
+    its part for the partition's bases fills ``{evalue}``, and ``total_bases`` (counted if
+    not given) ``{effective}``.
     """
     ship_package(reads.sparkSession)
+    r = reads.select(F.col("id").cast("string"), F.col("d").cast("int"), F.col("seq").cast("string"))
+    if total_bases is None:
+        total_bases = r.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str, list[tuple]] = {}
         for pdf in frames:
-            if not len(pdf):
-                continue
-            by = {n: r for n, r in zip([n for n, _ in _named(pdf)], pdf.itertuples(index=False), strict=True)}
-            hits = [line.split("\t") for line in tool.run({"reads": to_fasta(_named(pdf)), "query": query}).splitlines() if line]
-            rows = dict.fromkeys((h[0], h[1]) for h in hits if len(h) > 1 and h[1] in by)
-            yield pd.DataFrame([(g, by[r].id, by[r].d, by[r].seq) for g, r in rows], columns=["geneid", "id", "d", "seq"])
+            for (name, _), row in zip(_named(pdf), pdf.itertuples(index=False), strict=True):
+                by.setdefault(name, []).append(tuple(row))
+        if not by:
+            return
+        bases = sum(len(x[2] or "") for rows in by.values() for x in rows)
+        text = (f">{n}\n{x[2] or ''}\n" for n, rows in by.items() for x in rows)
+        found = tool.run({"reads": text, "query": query}, effective=total_bases, evalue=scaled_evalue(evalue, bases, total_bases))
+        hits = [line.split("\t") for line in found.splitlines() if line]
+        pairs = dict.fromkeys((h[0], h[1]) for h in hits if len(h) > 1 and h[1] in by)
+        yield pd.DataFrame([(g, *x) for g, r in pairs for x in by[r]], columns=["geneid", "id", "d", "seq"])
 
-    return reads.select(F.col("id").cast("string"), F.col("d").cast("int"), F.col("seq").cast("string")).mapInPandas(run, "geneid string, id string, d int, seq string")
+    return r.mapInPandas(run, "geneid string, id string, d int, seq string")
 
 
 def grouped_hits(hits: DataFrame) -> DataFrame:
@@ -150,26 +215,36 @@ def assemble_improved(reads: DataFrame, key: str, tool: Tool = TOOLS["newbler"])
     return _grouped(reads, key, work, "group string, contig string, seq string")
 
 
-def assemble_by_key(reads: DataFrame, key: str, tool: str | Tool = "cap3", keep_top: bool = False, drop_identical: bool = False, limit: int | None = None, seeds: dict[str, str] | None = None) -> DataFrame:
-    """group, contig, seq by length from the longest, ties kept.
+def assemble_by_key(reads: DataFrame, key: str, tool: str | Tool = "velvet", keep_top: bool = False, drop_identical: bool = False, limit: int | None = None, seeds: dict[str, str] | None = None) -> DataFrame:
+    """group, contig, seq, header by length from the longest, ties by name.
 
-    ``drop_identical``: equal reads once; ``limit``: groups with more reads are left out;
-    ``seeds``: sequences by group; only longer contigs are returned.
+    Reads of a group come in the order of id, d and sequence. The read whose id is the
+    group is its seed; ``seeds`` may give others by group. ``drop_identical``: equal reads
+    once; ``limit``: only the first so many reads are assembled, the seed beside them.
+    With a seed only longer contigs are returned. ``header`` is ``>group-contig
+    numberOfReadsInput=n``, with the limit where it has left reads out.
     """
-    t = TOOLS[tool] if isinstance(tool, str) else tool
+    t = configured(reads.sparkSession, tool) if isinstance(tool, str) else tool
 
     def work(pdf: pd.DataFrame) -> list[tuple]:
         g = str(pdf[key].iloc[0])
+        n = len(pdf)
+        pdf = pdf.sort_values(["id", "d", "seq"], kind="stable", na_position="last")
+        own = pdf["id"].astype(str) == g
+        seed = (seeds or {}).get(g, pdf.loc[own, "seq"].iloc[0] if own.any() else None)
+        first, rest = pdf[own].head(1), pdf[~own]
         if drop_identical:
-            pdf = pdf.drop_duplicates("seq")
-        if limit is not None and len(pdf) > limit:
-            return []
-        found = sorted(from_fasta(t.run({"reads": to_fasta(_named(pdf))})), key=lambda x: (-len(x[1]), x[0]))
-        if seeds and g in seeds:
-            found = [c for c in found if len(c[1]) > len(seeds[g])]
-        return [(g, *c) for c in (found[:1] if keep_top else found)]
-
-    return _grouped(reads, key, work, "group string, contig string, seq string")
+            rest = rest[~rest["seq"].isin(first["seq"])].drop_duplicates("seq")
+        if limit is not None:
+            rest = rest.head(max(0, limit - len(first)))
+        pdf = pd.concat([first, rest])
+        found = sorted(from_fasta(t.run({"reads": to_fasta(_named(pdf))})), key=lambda x: (-len(x[1]), x[0])) if len(pdf) else []
+        if seed is not None:
+            found = [c for c in found if len(c[1]) > len(seed)]
+        left = f"limit={limit}" if limit is not None and limit < n else ""
+        return [(g, *c, f">{g}-{c[0]} numberOfReadsInput={n} {left}") for c in (found[:1] if keep_top else found)]
+
+    return _grouped(reads, key, work, "group string, contig string, seq string, header string")
 
 
 def extend_contig(contigs: DataFrame, reads: DataFrame, key: str, tool: Tool = TOOLS["cap3"]) -> DataFrame:

@@ -33,7 +33,9 @@ def consensus(df: DataFrame, key: str, seq: str) -> DataFrame:
     """
     d = df.select(F.col(key).alias("key"), F.col(seq).alias("seq")).where(F.col("seq").isNotNull())
     stat = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("only"))
-    chars = d.where(F.length("seq") > 0).select("key", F.posexplode(F.split("seq", "")).alias("pos", "ch"))
+    # A group of one needs no vote.
+    voters = d.join(stat.where("n > 1").select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    chars = voters.where(F.length("seq") > 0).select("key", F.posexplode(F.split("seq", "")).alias("pos", "ch"))
     count = lambda b: F.sum((F.col("ch") == b).cast("long")).alias(b)
     votes = chars.groupBy("key", "pos").agg(*map(count, "atgc"))
     best = F.greatest("a", "t", "g", "c")

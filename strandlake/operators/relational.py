@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def flatten_bag(df: DataFrame, bag: str, name: str) -> DataFrame:
@@ -64,13 +65,61 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select([F.col(c).alias(f"{c}1") for c in left.columns]).crossJoin(right.select([F.col(c).alias(f"{c}2") for c in right.columns]))
 
 
+def join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys: inner, left, right, full, semi or anti. A null key matches none."""
+    return left.join(right, keys, {"full": "full", "semi": "left_semi", "anti": "left_anti"}.get(how, how))
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, share: float = 0.001) -> DataFrame:
+    """Inner join in which rows of hot keys are dealt to several tasks.
+
+    Keys with more than ``share`` of the left side's rows are counted (1 / ``share`` keys
+    at most); their left rows get a salt and their right rows come once for each salt.
+    """
+    total = left.count()
+    hot = left.groupBy(key).count().where((F.col("count") > share * total) & F.col(key).isNotNull())
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot.select(F.col(key).alias("__hot")).collect(), T.StructType([T.StructField("__hot", left.schema[key].dataType)])))
+    a = left.join(hot, F.col(key) == F.col("__hot"), "left")
+    a = a.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.floor(F.rand(1) * salts)).otherwise(0).cast("int")).drop("__hot")
+    b = right.join(hot, F.col(key) == F.col("__hot"), "left")
+    b = b.withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return a.join(b, [key, "__salt"]).drop("__salt")
+
+
+def merge_join(left: DataFrame, right: DataFrame, key: str, parallel: int | None = None) -> DataFrame:
+    """Inner join by sorting both sides; ``parallel``: so many tasks."""
+    if parallel is not None:
+        left, right = left.repartition(parallel, key), right.repartition(parallel, key)
+    return left.hint("merge").join(right.hint("merge"), key)
+
+
+def union(*relations: DataFrame) -> DataFrame:
+    """All rows, repeats kept, columns matched by name; columns that a relation lacks are null."""
+    out = relations[0]
+    for r in relations[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
+def intersect(left: DataFrame, right: DataFrame, all: bool = False) -> DataFrame:
+    return left.intersectAll(right) if all else left.intersect(right)
+
+
+def difference(left: DataFrame, right: DataFrame, all: bool = False) -> DataFrame:
+    return left.exceptAll(right) if all else left.subtract(right)
+
+
 def split(df: DataFrame, **conditions: str) -> dict[str, DataFrame]:
     """A relation for each condition; a row may be in several or none."""
     return {n: df.where(c) for n, c in conditions.items()}
 
 
-def sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def sample(df: DataFrame, fraction: float, seed: int = 0, by: str | None = None) -> DataFrame:
+    """Rows kept with that probability; ``by``: decided by a hash of a column, so that reruns and other tables agree."""
+    if by is None:
+        return df.sample(fraction=fraction, seed=seed)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string")), 256)
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") < fraction * float(1 << 32))
 
 
 def rank(df: DataFrame, by: list[Column], dense: bool = False, within: list[str] | None = None, name: str = "rank") -> DataFrame:

@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.kmers import kmers, neighbours
+from strandlake.functions.kmers import chunks, kmers, neighbours
 from strandlake.functions.sequences import identity_hash, subsequence
-from strandlake.operators import external, groups, matching, profiles
+from strandlake.operators import coded, external, groups, matching, profiles
+
+
+def _sums(reads: DataFrame, seq: str | Column, k: int, n_too: bool = False) -> DataFrame:
+    c = coded.kmer_counts(reads, [], F.col(seq) if isinstance(seq, str) else seq, k, n_too)
+    return c.groupBy(*coded.KMER).agg(F.sum("cnt").alias("cnt"))
 
 
 def kmer_count(reads: DataFrame, seq: str | Column, k: int = 30) -> DataFrame:
     """kmer, cnt."""
-    seq = F.col(seq) if isinstance(seq, str) else seq
-    return reads.select(F.explode(kmers(seq, k)).alias("kmer")).groupBy("kmer").agg(F.count("kmer").alias("cnt"))
+    if k > 2 * coded.per_long(False):
+        return _kmer_rows(reads, seq, k).groupBy("kmer").agg(F.count("kmer").alias("cnt"))
+    return _sums(reads, seq, k).select(coded.text_of(k).alias("kmer"), "cnt")
 
 
 def kmer_stats(reads: DataFrame, seq: str | Column, k: int = 30) -> DataFrame:
     """cnt, n_kmers: how many k-mers occur so often."""
-    return kmer_count(reads, seq, k).groupBy("cnt").agg(F.count(F.lit(1)).alias("n_kmers"))
+    counted = kmer_count(reads, seq, k) if k > 2 * coded.per_long(False) else _sums(reads, seq, k)
+    return counted.groupBy("cnt").agg(F.count(F.lit(1)).alias("n_kmers"))
 
 
 def kmer_set(reads: DataFrame, seq: str | Column, k: int = 40) -> DataFrame:
     """Distinct k-mers."""
+    if k > 2 * coded.per_long(False):
+        return _kmer_rows(reads, seq, k).distinct()
+    return coded.kmer_counts(reads, [], F.col(seq) if isinstance(seq, str) else seq, k).select(*coded.KMER).distinct().select(coded.text_of(k).alias("kmer"))
+
+
+def _kmer_rows(reads: DataFrame, seq: str | Column, k: int) -> DataFrame:
     seq = F.col(seq) if isinstance(seq, str) else seq
-    return reads.select(F.explode(kmers(seq, k)).alias("kmer")).distinct()
+    return reads.select(F.explode(chunks(seq, k)).alias("part")).select(F.explode(kmers(F.col("part"), k)).alias("kmer"))
 
 
 def kmer_profile(reads: DataFrame, key: str, seq: str | Column, k: int = 4) -> DataFrame:
@@ -45,9 +58,14 @@ def n50(contigs: DataFrame, size: str | Column, limit: int | None = None) -> Dat
 
 def dereplicate(reads: DataFrame, key: str, d: str, seq: str, distance: int = 1) -> DataFrame:
     """hash, n, seq: mates merged, keyed by their end hash and its neighbours, counted, with a consensus."""
-    merged = groups.pair_merge(reads, key, d, seq)
-    hashed = merged.select(F.explode(neighbours(identity_hash(F.col("seq")), distance)).alias("hash"), "seq")
-    return groups.consensus(hashed, "hash", "seq").withColumnRenamed("key", "hash")
+    merged = groups.pair_merge(reads, key, d, seq).select("id", "seq", F.explode(neighbours(identity_hash(F.col("seq")), distance)).alias("hash"))
+    # Hashes travel with a row's id; its sequence follows once it is known where it is wanted.
+    keyed = merged.select("hash", "id")
+    stat = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    seqs = groups.pair_merge(reads, key, d, seq).select("id", "seq")
+    single = stat.where("n = 1").join(seqs, "id").select("hash", "n", "seq")
+    shared = keyed.join(stat.where("n > 1").select("hash"), "hash", "left_semi").join(seqs, "id").select("hash", "seq")
+    return single.unionByName(groups.consensus(shared, "hash", "seq").withColumnRenamed("key", "hash"))
 
 
 def assign_barcodes(reads: DataFrame, barcodes: DataFrame, key: str, seq: str | Column, barcode_key: str, barcode_seq: str | Column, length: int = 10, distance: int = 2, distinct: bool = False) -> DataFrame:

@@ -113,7 +113,12 @@ def test_assembly_per_group(spark):
     assert got == {"g": ("1/2", "acgtt"), "h": ("2", "aa")}
     by = external.assemble_by_key(df, "grp", CAT, drop_identical=True, seeds={"g": "acgt"}).collect()
     assert sorted((r.group, r.seq) for r in by) == [("g", "acgtt"), ("h", "aa")]
-    assert external.assemble_by_key(df, "grp", CAT, limit=1).count() == 0
+    one = external.assemble_by_key(df, "grp", CAT, limit=1).collect()
+    assert sorted((r.group, r.contig, r.seq) for r in one) == [("g", "1/1", "acgt"), ("h", "2", "aa")]
+    assert one[0].header == f">{one[0].group}-{one[0].contig} numberOfReadsInput=2 limit=1"
+    seeded = spark.createDataFrame([("s", "s", 0, "acg"), ("s", "a", 1, "acgtt"), ("s", "b", 1, "ac"), ("s", "c", 1, "acgttt")], "grp string, id string, d int, seq string")
+    assert [r.seq for r in external.assemble_by_key(seeded, "grp", CAT, limit=3).collect()] == ["acgtt"]
+    assert [r.seq for r in external.assemble_by_key(seeded, "grp", CAT, keep_top=True).collect()] == ["acgttt"]
     assert external.assemble_improved(df, "grp", CAT).count() == 2
 
 
@@ -173,3 +178,97 @@ def test_stub_contigs_are_the_longest_texts(spark, sf):
         text = docs[r.contig].text
         assert docs[r.contig].source == r.group and len(text) == longest[r.group]
         assert r.seq == "".join(c if c.isascii() and c.isalpha() else "z" for c in text).lower().translate(read)
+
+
+def test_blast_runs_once_a_partition_with_its_share_of_the_e_value(spark, tmp_path):
+    script = tmp_path / "hits.sh"
+    script.write_text("#!/bin/sh\ngrep '>' $1 | sed \"s/>/gene:$2:$3:$(grep -c '>' $1)\\t/\"\n")
+    tool = external.Tool(f"sh {script} {{reads}} {{evalue}} {{effective}}")
+    reads = spark.createDataFrame([(f"r{i}", 0, "acgt") for i in range(20)] + [("r0", 0, "tttt")], "id string, d int, seq string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            hits = external.blast(reads, ">q\nacgt\n", tool, evalue=2.0, total_bases=168).collect()
+            assert {h.geneid for h in hits} == {"gene:1.0:168:21"} and len(hits) == 21
+            assert sorted(h.seq for h in hits if h.id == "r0") == ["acgt", "tttt"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "-e {evalue}" in external.TOOLS["blast"].command
+
+
+def test_tools_from_the_session(spark):
+    spark.conf.set("strandlake.cap3.command", "cat {reads}")
+    spark.conf.set("strandlake.cap3.output", "{reads}")
+    spark.conf.set("strandlake.cap3.timeout", "7")
+    try:
+        t = external.configured(spark, "cap3")
+        assert (t.command, t.output, t.timeout, t.setup) == ("cat {reads}", "{reads}", 7.0, [])
+        df = spark.createDataFrame([("g", "1", 1, "acgt")], "grp string, id string, d int, seq string")
+        assert external.assemble_by_key(df, "grp", "cap3").first().seq == "acgt"
+    finally:
+        for k in ("command", "output", "timeout"):
+            spark.conf.unset(f"strandlake.cap3.{k}")
+    assert external.configured(spark, "velvet") == external.TOOLS["velvet"]
+
+
+def test_stream_through(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a c")], "k int, v string")
+    assert sorted(tuple(r) for r in external.stream_through(df, "sed s/a/x/", "k int, v string").collect()) == [(1, "b"), (2, ""), (3, "x c")]
+    with pytest.raises(Exception, match="ended with"):
+        external.stream_through(df, "false", "k int").collect()
+
+
+def test_joins_and_sets(spark):
+    a = spark.createDataFrame([(1, "x")] * 300 + [(2, "y"), (None, "z")], "k int, a string")
+    b = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r"), (None, "s")], "k int, b string")
+    assert relational.skewed_join(a, b, "k").count() == relational.merge_join(a, b, "k", 3).count() == 600
+    count = lambda how: relational.join(a, b, ["k"], how).count()
+    assert [count(h) for h in ("inner", "left", "right", "full", "semi", "anti")] == [600, 602, 602, 604, 300, 2]
+    x, y = spark.createDataFrame([(1,), (1,), (2,)], "v int"), spark.createDataFrame([(1,), (3,)], "v int")
+    assert (relational.intersect(x, y).count(), relational.difference(x, y).count(), relational.difference(x, y, all=True).count()) == (1, 1, 2)
+    kept = {r.v for r in relational.sample(spark.range(4000).withColumnRenamed("id", "v"), 0.25, by="v").collect()}
+    assert 800 < len(kept) < 1200 and kept == {r.v for r in relational.sample(spark.range(4000).withColumnRenamed("id", "v"), 0.25, by="v").collect()}
+
+
+def test_seed_join_keeps_repeats(spark):
+    a = spark.createDataFrame([("atgca",), ("atgca",)], "s string")
+    b = spark.createDataFrame([("atgcc",), ("atgca",)], "t string")
+    assert Counter(map(tuple, matching.seed_join(a, b, "s", "t", 2).collect())) == Counter(map(tuple, matching.fuzzy_join(a, b, "s", "t", 2).collect())) == {("atgca", "atgcc"): 2, ("atgca", "atgca"): 2}
+
+
+def test_coded_kmers_against_plain_windows(spark):
+    import random
+
+    from strandlake.operators import coded
+
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("atgc", k=n)) for n in (0, 3, 5, 70, 4000)] + ["".join(rng.choices("atgcn", k=300)), "acgtNNacgtacxgtacgé日acgtacgta", "acgtacgt", None, "n" * 9]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
+    old, coded.STRETCH = coded.STRETCH, 64  # so that sequences are cut
+    try:
+        for k in (1, 2, 5, 27, 28, 31, 32, 40, 62):
+            for n_too in (False, True):
+                if k > 2 * coded.per_long(n_too):
+                    continue
+                want = Counter((i, s[j : j + k]) for i, s in enumerate(seqs) if s for j in range(len(s) - k + 1) if n_too or "n" not in s[j : j + k])
+                if k in (5, 31, 40):
+                    got = coded.kmer_counts(df, ["id"], F.col("seq"), k, n_too).groupBy("id", *coded.KMER).agg(F.sum("cnt").alias("cnt"))
+                    assert {(r.id, r.kmer): r.cnt for r in got.select("id", coded.text_of(k, n_too).alias("kmer"), "cnt").collect()} == want
+                local = Counter()
+                for row, hi, lo, other in coded._batch(seqs, k, n_too):
+                    for n, (r, h, x) in enumerate(zip(row.tolist(), hi.tolist(), lo.tolist(), strict=True)):
+                        local[r, h, x, other[n] if other else ""] += 1
+                assert sorted(local.values()) == sorted(want.values())
+    finally:
+        coded.STRETCH = old
+
+
+def test_chunks_hold_each_window_once(spark):
+    from strandlake.functions.kmers import chunks, windows
+
+    s = "".join("acgt"[i * i % 4] for i in range(997)) + "tgca" * 50
+    df = spark.createDataFrame([(s,), ("acg",), (None,), ("acgta",)], "s string")
+    for size in (7, 100, 5000):
+        got = df.select(F.explode(chunks(F.col("s"), 5, size)).alias("c")).select(F.explode(windows(F.col("c"), 5)).alias("w")).collect()
+        assert Counter(r.w for r in got) == Counter([s[i : i + 5] for i in range(len(s) - 4)] + ["acgta"])
