@@ -7,6 +7,7 @@ any executable that keeps the contract can take the place of the usual ones.
 
 from __future__ import annotations
 
+import os
 import re
 import shlex
 import subprocess
@@ -43,7 +44,7 @@ class Tool:
 
     def run(self, files: dict[str, str | Iterator[str]], **values: object) -> str:
         """Write ``files``, run the commands and return the result; ``values`` fill the template too."""
-        with tempfile.TemporaryDirectory() as tmp:
+        with tempfile.TemporaryDirectory(dir=os.path.realpath(tempfile.gettempdir())) as tmp:  # the programs run elsewhere
             names = {"dir": tmp, **{k: str(v) for k, v in values.items()}}
             for name, text in files.items():
                 path = Path(tmp, f"{name}.fa")
@@ -110,7 +111,7 @@ def stream_through(df: DataFrame, command: str, schema: str, delimiter: str = "\
     lines = df.select(F.concat_ws(delimiter, *cols).alias("line"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with tempfile.TemporaryDirectory() as tmp:
+        with tempfile.TemporaryDirectory(dir=os.path.realpath(tempfile.gettempdir())) as tmp:  # the programs run elsewhere
             given, made = Path(tmp, "in"), Path(tmp, "out")
             with given.open("w") as f:
                 f.writelines(f"{x}\n" for pdf in frames for x in pdf["line"])

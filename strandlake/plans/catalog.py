@@ -8,7 +8,7 @@ are used.
 
 from __future__ import annotations
 
-import uuid
+import shlex
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import codecs, kmers, sequences
 from strandlake.operators import external, groups, matching, profiles, relational
 from strandlake.plans import recipes
-from strandlake.plans.session import scratch_dir, table
+from strandlake.plans.session import Workspace, table
 from strandlake.sources import fasta
+from strandlake.streaming import kmer_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,17 +209,109 @@ def joined_values(spark, sf_dir):
     return groups.joined_values(table(spark, sf_dir, "conversations"), "conv_id", "role")
 
 
-def stub_contigs(spark, sf_dir):
-    """The longest contig by source, where every text is a read of its own length and the program under test gives its input back."""
-    letters = F.regexp_replace("text", "[^A-Za-z]", "z")
-    r = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("d"), sequences.from_text(letters).alias("seq"))
-    return external.assemble_longest(r, "source", external.Tool("cat {reads}"))
+# Programs that stand in for the usual ones: they keep the contract of files and output, and their results have SQL.
+_SORTED = "paste - - < {} | LC_ALL=C sort -k2 | tr '\\t' '\\n'"
 
 
-@query("SELECT source AS \"group\", max(length(text))::BIGINT AS longest FROM documents GROUP BY source")
-def assemble_stub(spark, sf_dir):
-    """Lengths of :func:`stub_contigs`, so the longest text's."""
-    return stub_contigs(spark, sf_dir).select("group", F.length("seq").cast("long").alias("longest"))
+def _shell(command: str, **args) -> external.Tool:
+    return external.Tool("sh -c " + shlex.quote(command), **args)
+
+
+SORTING = {
+    "cap3": _shell(_SORTED.format("{reads}") + " > {reads}.cap.contigs", output="{reads}.cap.contigs"),
+    "velvet": _shell(_SORTED.format("{dir}/v/in") + " > {dir}/v/contigs.fa", output="{dir}/v/contigs.fa", setup=["mkdir {dir}/v", "cp {reads} {dir}/v/in"], missing_ok=True),
+    "minimus": _shell(_SORTED.format("{dir}/m.afg") + " > {dir}/m.fasta", output="{dir}/m.fasta", setup=["cp {reads} {dir}/m.afg"], missing_ok=True),
+}
+JOINING = _shell("mkdir -p {dir}/n; (echo '>all'; grep -v '>' {reads} | LC_ALL=C sort | tr -d '\\n'; echo; cat {reads}) > {dir}/n/454AllContigs.fna", output="{dir}/n/454AllContigs.fna", missing_ok=True)
+FINDING = _shell("""paste - - < {query} | while read h s; do paste - - < {reads} | grep -F $s | cut -f1 | sed "s/^>/$h\\t/;s/^>//"; done""")
+CONTAINING = _shell("""paste - - < {query} | cut -f2 | grep . > pat; paste - - < {reads} | grep -F -f pat | cut -f1 | sed "s/^>/q\\t/" """)
+GENES = {"geneA": "gcatgcatt", "geneB": "ttgcaag"}
+GENE_TEXT = "".join(f">{n}\n{s}\n" for n, s in GENES.items())
+_GENES = "genes(gene, motif) AS (VALUES " + ", ".join(f"('{n}', '{s}')" for n, s in GENES.items()) + ")"
+
+
+def _longest(source: str) -> str:
+    """SQL: the longest seq of each key of ``source`` (key, seq), the first of equal ones."""
+    return f"SELECT key, min(seq) FILTER (length(seq) = m) AS seq FROM (SELECT key, seq, max(length(seq)) OVER (PARTITION BY key) AS m FROM {source}) GROUP BY key"
+
+
+def _by_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("d"), sequences.from_text(F.col("text")).alias("seq"))
+
+
+_SOURCES = f"WITH r AS (SELECT source AS key, {_SEQ} AS seq FROM documents)"
+
+
+@query(f"{_SOURCES}, b AS ({_longest('r')}) SELECT key AS \"group\", seq FROM b")
+def assemble_velvet(spark, sf_dir):
+    return external.assemble_longest(_by_source(spark, sf_dir), "source", SORTING["velvet"]).select("group", "seq")
+
+
+@query(f"{_SOURCES}, b AS ({_longest('r')}) SELECT key AS \"group\", seq FROM b")
+def assemble_cap3(spark, sf_dir):
+    return external.assemble_longest(_by_source(spark, sf_dir), "source", SORTING["cap3"]).select("group", "seq")
+
+
+@query(f"{_SOURCES}, b AS ({_longest('r')}) SELECT key AS \"group\", seq FROM b")
+def assemble_minimus(spark, sf_dir):
+    return external.assemble_by_key(_by_source(spark, sf_dir), "source", SORTING["minimus"], keep_top=True).select("group", "seq")
+
+
+@query(
+    f"""WITH r AS (SELECT item_id % 10 AS key, {_SEQ} AS seq FROM benchmark),
+b AS (SELECT key, string_agg(seq, '' ORDER BY seq) AS whole, max(length(seq)) AS longest FROM r GROUP BY key)
+SELECT key::VARCHAR AS "group", CASE WHEN length(whole) > longest THEN 'all' ELSE NULL END AS contig, whole AS seq FROM b"""
+)
+def assemble_newbler(spark, sf_dir):
+    r = contigs(spark, sf_dir).select((F.col("id") % 10).alias("key"), F.col("id").cast("string").alias("id"), F.lit(0).alias("d"), "seq")
+    return external.assemble_improved(r, "key", JOINING)
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.col("turn").cast("int").alias("d"), "role", sequences.from_text(F.col("text")).alias("seq"))
+
+
+_TURNS = f"t AS (SELECT conv_id::VARCHAR AS id, turn AS d, role, {_SEQ} AS seq FROM conversations)"
+
+
+@query(
+    f"""WITH {_TURNS}, u AS (SELECT DISTINCT ON (role, seq) *, CASE WHEN d = 0 THEN id ELSE id || '/' || d END AS name FROM t ORDER BY role, seq, id, d),
+k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY id, d, seq) AS place FROM u),
+b AS (SELECT role, max_by(seq, (length(seq), -rank)) AS seq, max_by(name, (length(seq), -rank)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY name) AS rank FROM k WHERE place <= 50) GROUP BY role),
+n AS (SELECT role, count(*) AS n FROM t GROUP BY role)
+SELECT role AS "group", name AS contig, seq, '>' || role || '-' || name || ' numberOfReadsInput=' || n || ' ' || CASE WHEN n > 50 THEN 'limit=50' ELSE '' END AS header FROM b JOIN n USING (role)"""
+)
+def group_assembly(spark, sf_dir):
+    return external.assemble_by_key(_turns(spark, sf_dir), "role", SORTING["cap3"], keep_top=True, drop_identical=True, limit=50)
+
+
+@query(f"WITH {_TURNS}, {_GENES} SELECT gene AS geneid, id, d, seq FROM genes JOIN t ON contains(seq, motif)")
+def blast_hits(spark, sf_dir):
+    h = external.blast(_turns(spark, sf_dir), GENE_TEXT, FINDING)
+    return h.select("geneid", "id", F.col("d").cast("long").alias("d"), "seq")
+
+
+@query(f"WITH {_TURNS}, {_GENES}, r AS (SELECT DISTINCT gene AS key, t.id, t.d, t.seq FROM genes JOIN t h ON contains(h.seq, motif) JOIN t ON t.id = h.id), b AS ({_longest('r')}) SELECT key AS \"group\", seq FROM b")
+def gene_assembly(spark, sf_dir):
+    return recipes.gene_assembly(_turns(spark, sf_dir), GENE_TEXT, FINDING, SORTING["velvet"]).select("group", "seq")
+
+
+@query(f"WITH {_DB}, h AS (SELECT DISTINCT (q.id % 10)::VARCHAR AS \"group\", d.id::VARCHAR AS hit FROM b q JOIN b d ON q.seq <> '' AND contains(d.seq, q.seq)) SELECT \"group\", string_agg(hit, ', ' ORDER BY hit) AS reads FROM h GROUP BY 1")
+def blat_hits(spark, sf_dir):
+    db = contigs(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("d"), "seq")
+    g = contigs(spark, sf_dir).select((F.col("id") % 10).cast("string").alias("group"), F.col("id").cast("string").alias("id"))
+    return external.blat_groups(g, db, CONTAINING)
+
+
+@query(
+    f"""{_READS}, {_DB}, {_windows('r', 20, 'k')}, {_windows('b', 20, 'd')}, n AS (SELECT id, length(seq) AS n FROM b),
+e AS (SELECT DISTINCT d.id, kmer FROM d JOIN n USING (id) WHERE i <= 10 OR i > greatest(n - 20 - 10 + 1, 0)),
+p AS (SELECT DISTINCT e.id AS contig, k.id AS read FROM e JOIN k USING (kmer)),
+l AS (SELECT contig AS key, r.seq FROM p JOIN r ON p.read = r.id), m AS ({_longest('l')})
+SELECT b.id::VARCHAR AS "group", CASE WHEN length(m.seq) > length(b.seq) THEN m.seq ELSE b.seq END AS seq, coalesce((length(m.seq) > length(b.seq))::INT, 0) AS extended FROM b LEFT JOIN m ON m.key = b.id"""
+)
+def contig_extension(spark, sf_dir):
+    return recipes.extend_contigs(contigs(spark, sf_dir), reads(spark, sf_dir), "id", "seq", "id", "seq", 20, 10, SORTING["cap3"])
 
 
 # --- scalar functions -------------------------------------------------------------
@@ -300,6 +393,11 @@ def hamming_neighbours(spark, sf_dir):
     return _codes(spark, sf_dir).select("id", F.explode(kmers.neighbours(F.col("code"), 2)).alias("near"))
 
 
+@query(f"WITH {_DB}, {_CODES}, {_NEAR2} SELECT near.id, near.s AS near FROM near JOIN code ON code.id = near.id AND hamming(code.s, near.s) = 2")
+def hamming_exactly(spark, sf_dir):
+    return _codes(spark, sf_dir).select("id", F.explode(kmers.neighbours(F.col("code"), 2, exactly=True)).alias("near"))
+
+
 @query(f"{_READS}, {_DB}, {_CODES}, {_NEAR2} SELECT near.id AS barcode, r.id AS read FROM near JOIN r ON length(r.seq) >= 10 AND substr(r.seq, 1, 10) = near.s")
 def barcode_assign(spark, sf_dir):
     return recipes.assign_barcodes(reads(spark, sf_dir), _codes(spark, sf_dir), "id", "seq", "id", "code", 10, 2)
@@ -344,7 +442,7 @@ def kmer_match(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+    return Workspace(spark, name).path("files")
 
 
 @query(f"{_READS} SELECT id::VARCHAR AS id, 0 AS d, seq, ' len=' || length(seq) AS header FROM r")
@@ -355,13 +453,27 @@ def fasta_round_trip(spark, sf_dir):
     return fasta.read_fasta(spark, path)
 
 
-@query(f"{_READS} SELECT id::VARCHAR AS id, 1 + id % 2 AS d, seq FROM r")
-def fastq_round_trip(spark, sf_dir):
+def _fastq(spark, sf_dir, **options) -> str:
     path = _scratch(spark, "fastq")
     s = F.upper("seq")
     r = reads(spark, sf_dir).select(F.concat(F.lit("@"), F.col("id"), F.lit("/"), 1 + F.col("id") % 2, F.lit("\n"), s, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length(s))).alias("value"))
-    r.write.text(path, compression="gzip")
-    return fasta.read_fastq(spark, path).select("id", F.col("d").cast("long").alias("d"), "seq")
+    r.write.text(path, **options)
+    return path
+
+
+@query(f"{_READS} SELECT id::VARCHAR AS id, 1 + id % 2 AS d, seq FROM r")
+def fastq_round_trip(spark, sf_dir):
+    return fasta.read_fastq(spark, _fastq(spark, sf_dir, compression="gzip")).select("id", F.col("d").cast("long").alias("d"), "seq")
+
+
+@query(f"{_READS} SELECT id::VARCHAR AS id, upper(seq) AS seq, true AS from_file FROM r")
+def fastq_with_file(spark, sf_dir):
+    """Each read with the hash of its file's name, which must be that of one of the files."""
+    path = _fastq(spark, sf_dir)
+    r = fasta.read_fastq(spark, path, fold=False, with_file=True)
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    known = files.select(sequences.string_hash(F.col("name")).alias("file_hash"), F.lit(True).alias("known")).distinct()
+    return r.join(known, "file_hash", "left").select("id", "seq", F.coalesce("known", F.lit(False)).alias("from_file"))
 
 
 @query(f"{_READS} SELECT count(*) AS n_reads, sum(length(seq))::BIGINT AS n_bases FROM r")
@@ -372,6 +484,40 @@ def fasta_blocks(spark, sf_dir):
     return b.agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.length("r.seq")).alias("n_bases"))
 
 
+@query(f"{_READS} SELECT id::VARCHAR AS id, 1 + id % 2 AS d, seq FROM r")
+def fastq_blocks(spark, sf_dir):
+    b = fasta.read_fastq_blocks(spark, _fastq(spark, sf_dir)).select(F.explode("reads").alias("r"))
+    return b.select("r.id", F.col("r.d").cast("long").alias("d"), "r.seq")
+
+
+@query(f"{_READS} SELECT id::VARCHAR || '/1' AS name, seq, (SELECT count(*) FROM r) AS n FROM r")
+def sequence_files(spark, sf_dir):
+    """Whole names and sequences of files with lengths in their headers, and how many there are."""
+    path = _scratch(spark, "sequences")
+    r = reads(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit("/1")).alias("id"), "seq")
+    fasta.write_fasta(r, path, with_length=True)
+    return fasta.read_sequences(spark, path).withColumn("n", F.lit(fasta.count_sequences(spark, path)).cast("long"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def delimited_round_trip(spark, sf_dir):
+    path = _scratch(spark, "table")
+    fasta.write_text(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, delimiter="|")
+    return fasta.read_table(spark, path, "n_nationkey int, n_name string, n_regionkey int", delimiter="|")
+
+
+@query(f"{_READS}, {_windows('r', 6, 'k')} SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer")
+def stream_kmer_count(spark, sf_dir):
+    """K-mers of files that arrive in a folder, counted by a stream over all that are there."""
+    work = Workspace(spark, "stream")
+    path, out = work.path("in"), work.path("out")
+    fasta.write_fasta(reads(spark, sf_dir), path)
+    counts = kmer_stream.kmer_counts(kmer_stream.stream_fasta(spark, path), "seq", 6)
+    write = lambda df, _: df.write.mode("overwrite").parquet(out)
+    counts.writeStream.outputMode("complete").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", work.path("state")).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("SELECT '(' || n_nationkey || ',' || n_name || ')' || chr(9) || '{' || n_regionkey || ',' || n_nationkey || '}' AS value FROM nation")
 def nested_text(spark, sf_dir):
     path = _scratch(spark, "text")
@@ -474,3 +620,82 @@ def rel_tokenize(spark, sf_dir):
 def rel_flatten(spark, sf_dir):
     g = relational.group(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"])
     return relational.flatten_tuple(relational.flatten_bag(g.select("bag"), "bag", "t"), "t")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer RIGHT JOIN orders ON c_custkey = o_custkey")
+def rel_right_join(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "key"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key")
+    m = c.select("key", F.col("key").alias("c_custkey"))
+    return relational.join(m, o.select("key", "o_orderkey"), ["key"], "right").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT coalesce(c_nationkey, s_nationkey) AS key, coalesce(nc, 0) AS nc, coalesce(ns, 0) AS ns FROM (SELECT c_nationkey, count(*) AS nc FROM customer WHERE c_nationkey < 20 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS ns FROM supplier WHERE s_nationkey > 4 GROUP BY 1) ON c_nationkey = s_nationkey")
+def rel_full_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("nc"))
+    s = table(spark, sf_dir, "supplier").where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("ns"))
+    return relational.join(c, s, ["key"], "full").fillna(0, ["nc", "ns"])
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def rel_anti_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.join(table(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"], "anti")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def rel_skewed_join(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_returnflag")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
+    return relational.skewed_join(line, o, "key").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderkey, p_name FROM orders JOIN part ON o_custkey = p_partkey")
+def rel_merge_join(spark, sf_dir):
+    o, p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    return relational.merge_join(o, p, "key", parallel=4).select("o_orderkey", "p_name")
+
+
+@query("SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def rel_intersect(spark, sf_dir):
+    return relational.intersect(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key")))
+
+
+@query("SELECT c_nationkey AS key FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def rel_except(spark, sf_dir):
+    return relational.difference(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key")), all=True)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(sha256('5:' || o_orderkey::VARCHAR), 1, 8))::BIGINT < 0.3 * 4294967296")
+def rel_sample(spark, sf_dir):
+    return relational.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.3, seed=5, by="o_orderkey")
+
+
+@query("SELECT p_partkey, upper(p_name) AS p_name FROM part")
+def rel_stream_through(spark, sf_dir):
+    return external.stream_through(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "tr a-z A-Z", "p_partkey bigint, p_name string")
+
+
+@query("SELECT key, a, b FROM (SELECT o_custkey AS key, unnest(list(o_orderkey ORDER BY o_orderkey)) AS a, list(o_orderstatus) AS bs FROM orders GROUP BY 1), unnest(bs) u(b)")
+def rel_two_flattens(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_list("o_orderkey").alias("a"), F.collect_list("o_orderstatus").alias("b"))
+    return relational.flatten_bags(g, "a", "b")
+
+
+@query("SELECT o_custkey AS key, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def rel_bag_projection(spark, sf_dir):
+    g = relational.group(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderstatus"), ["key"])
+    p = relational.project_bag(g, "bag", "o_orderkey", "keys")
+    return p.select("key", F.array_join(F.transform(F.array_sort("keys"), lambda x: x.cast("string")), ",").alias("orders"))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, min(l_shipdate)::VARCHAR AS first, max(l_extendedprice) AS most, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1")
+def rel_aggregates(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return g.agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd HH:mm:ss").alias("first"), F.max("l_extendedprice").alias("most"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+
+
+@query(f"WITH m AS (SELECT conv_id AS id, turn, {_SEQ} AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT id, 0 AS d, min_by(seq, turn) || reverse(max_by(seq, turn)) AS seq FROM m WHERE n = 2 GROUP BY id")
+def pair_merge_strict(spark, sf_dir):
+    m = _mates(spark, sf_dir)
+    two = m.groupBy("conv_id").count().where("count = 2").select("conv_id")
+    return groups.pair_merge(m.join(two, "conv_id", "left_semi"), "conv_id", "turn", "seq", strict=True)

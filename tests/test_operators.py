@@ -164,22 +164,6 @@ def test_blat_finds_reads_outside_the_group(spark, tmp_path):
         assert got == {"g": "r/1, r/2, s, t", "h": "s, u"}
 
 
-def test_stub_contigs_are_the_longest_texts(spark, sf):
-    from strandlake.plans import catalog
-
-    read = str.maketrans("abcdefghijklmnopqrstuvwxyz", "atgc" * 6 + "an")
-    docs = {str(r.doc_id): r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    longest = {}
-    for r in docs.values():
-        longest[r.source] = max(longest.get(r.source, 0), len(r.text))
-    got = catalog.stub_contigs(spark, sf).collect()
-    assert {r.group for r in got} == set(longest)
-    for r in got:
-        text = docs[r.contig].text
-        assert docs[r.contig].source == r.group and len(text) == longest[r.group]
-        assert r.seq == "".join(c if c.isascii() and c.isalpha() else "z" for c in text).lower().translate(read)
-
-
 def test_blast_runs_once_a_partition_with_its_share_of_the_e_value(spark, tmp_path):
     script = tmp_path / "hits.sh"
     script.write_text("#!/bin/sh\ngrep '>' $1 | sed \"s/>/gene:$2:$3:$(grep -c '>' $1)\\t/\"\n")
