@@ -78,7 +78,9 @@ def unpack7_bytes(packed: bytes) -> str:
     return _text(d[: len(d) - fill] if fill else d)
 
 
-def _column(work: Callable, kind: str) -> Callable[[Column], Column]:
+def arrow_function(work: Callable, kind: str) -> Callable[[Column], Column]:
+    """A function of one value as a function of a column; null gives null."""
+
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else work(x))
@@ -88,11 +90,11 @@ def _column(work: Callable, kind: str) -> Callable[[Column], Column]:
 
 def pack(seq: Column) -> Column:
     """Binary; upper case is not folded, so it packs as n."""
-    return _column(pack_bytes, "binary")(seq)
+    return arrow_function(pack_bytes, "binary")(seq)
 
 
 def unpack(packed: Column) -> Column:
-    return _column(unpack_bytes, "string")(packed)
+    return arrow_function(unpack_bytes, "string")(packed)
 
 
 def packed_size(seq: Column) -> Column:
@@ -101,8 +103,8 @@ def packed_size(seq: Column) -> Column:
 
 
 def pack7(seq: Column) -> Column:
-    return _column(pack7_bytes, "binary")(seq)
+    return arrow_function(pack7_bytes, "binary")(seq)
 
 
 def unpack7(packed: Column) -> Column:
-    return _column(unpack7_bytes, "string")(packed)
+    return arrow_function(unpack7_bytes, "string")(packed)

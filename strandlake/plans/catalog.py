@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions import codecs, kmers, sequences
+from strandlake.functions import codecs, kmers, sequences, sql
 from strandlake.operators import external, groups, matching, profiles, relational
 from strandlake.plans import recipes
 from strandlake.plans.session import Workspace, table
@@ -41,11 +41,11 @@ def _windows(source: str, k: int, name: str, n_too: bool = False, short: int = 0
     return f"{name} AS (SELECT id, i, kmer FROM (SELECT id, c * 500 + o AS i, substr(s, o, {k}) AS kmer FROM ({rows})){keep})"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(text: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -699,3 +699,14 @@ def pair_merge_strict(spark, sf_dir):
     m = _mates(spark, sf_dir)
     two = m.groupBy("conv_id").count().where("count = 2").select("conv_id")
     return groups.pair_merge(m.join(two, "conv_id", "left_semi"), "conv_id", "turn", "seq", strict=True)
+
+
+@query(f"{_READS} SELECT id, reverse(translate(seq, 'atgc', 'tacg')) AS rc, CASE WHEN length(seq) >= 45 THEN substr(seq, 11, 35) END AS part, CASE WHEN length(seq) >= 8 THEN substr(seq, 1, 8) || substr(reverse(seq), 1, 8) END AS hash, seq AS unpacked, least(substr(seq, 1, 6), reverse(translate(substr(seq, 1, 6), 'atgc', 'tacg'))) AS first FROM r WHERE length(seq) >= 6 AND NOT contains(substr(seq, 1, 6), 'n')")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    r = reads(spark, sf_dir)
+    return spark.sql(
+        """SELECT id, reverse_complement(seq) AS rc, subsequence(seq, 10, 45) AS part, identity_hash(seq, 8) AS hash, unpack_bases(pack_bases(seq)) AS unpacked,
+        canonical_kmer(kmers(substring(seq, 1, 6), 6)[0]) AS first FROM {r} WHERE num_bases(seq) >= 6 AND size(kmers(substring(seq, 1, 6), 6)) > 0""",
+        r=r,
+    )
