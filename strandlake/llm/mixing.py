@@ -60,7 +60,8 @@ def mixed(docs: DataFrame, seed: int = 8, id_col: str = "doc_id", source_col: st
 
     Null texts have no words; a null source is a source of its own; rows that repeat an
     id draw the same number. A source without words has rate 0, so its documents take
-    none. An empty table gives an empty result.
+    none. Texts of any length are counted whole. Columns of any name come back inside
+    ``doc``. An empty table gives an empty result.
     """
     src, key = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`")
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), src.alias("source"), unit_hash(key, seed).alias("u"), words(F.col(f"`{text_col}`")).alias("size"))
@@ -81,7 +82,13 @@ def mixed(docs: DataFrame, seed: int = 8, id_col: str = "doc_id", source_col: st
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns, whatever their names.
+
+    As in :func:`mixed`: null texts have no words and count 0, a null source is one of
+    its own, rows that repeat are drawn alike, so all or none of them get the extra copy.
+    Texts of any length are counted whole and never leave the JVM. An empty table gives
+    an empty result.
+    """
     m = mixed(docs, **options)
     m = m.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return m.select("doc.*")
+    return m.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
