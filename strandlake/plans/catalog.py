@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import codecs, kmers, sequences, sql
-from strandlake.operators import external, groups, matching, profiles, relational
+from strandlake.operators import coded, external, groups, matching, profiles, relational
 from strandlake.plans import recipes
 from strandlake.plans.session import Workspace, table
 from strandlake.sources import fasta
@@ -101,14 +101,13 @@ e AS (SELECT id, kmer FROM f WHERE (i - 1) % 3 = 0 UNION SELECT id, kmer FROM g
 SELECT kmer, count(*) AS n_reads FROM e GROUP BY kmer"""
 )
 def kmer_step_revcomp(spark, sf_dir):
-    e = reads(spark, sf_dir).select(F.explode(kmers.stepped_kmers(F.col("seq"), 12, 3)).alias("kmer"))
-    return e.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_reads"))
+    e = coded.stepped_kmers(reads(spark, sf_dir), [], F.col("seq"), 12, 3)
+    return e.groupBy(*coded.KMER).agg(F.count(F.lit(1)).alias("n_reads")).select(coded.text_of(12, True).alias("kmer"), "n_reads")
 
 
 @query(f"{_READS}, {_windows('r', 6, 'k')} SELECT least(kmer, reverse(translate(kmer, 'atgc', 'tacg'))) AS kmer, count(*) AS cnt FROM k GROUP BY 1")
 def canonical_kmer_count(spark, sf_dir):
-    e = reads(spark, sf_dir).select(F.explode(kmers.kmers(F.col("seq"), 6)).alias("kmer"))
-    return e.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).groupBy(sequences.canonical(F.col("kmer"), strict=True).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+    return recipes.kmer_count(reads(spark, sf_dir), "seq", 6).groupBy(sequences.canonical(F.col("kmer"), strict=True).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
 
 
 # --- profiles and distances -------------------------------------------------------

@@ -256,3 +256,19 @@ def test_chunks_hold_each_window_once(spark):
     for size in (7, 100, 5000):
         got = df.select(F.explode(chunks(F.col("s"), 5, size)).alias("c")).select(F.explode(windows(F.col("c"), 5)).alias("w")).collect()
         assert Counter(r.w for r in got) == Counter([s[i : i + 5] for i in range(len(s) - 4)] + ["acgta"])
+
+
+def test_stepped_numbers_against_text(spark):
+    from strandlake.functions.kmers import stepped_kmers
+    from strandlake.operators import coded
+
+    rows = [(1, "acgtnacgtacca" * 30), (2, "acg"), (3, None), (4, "acgxtacgta"), (5, "ttttttttttt"), (6, "")]
+    df = spark.createDataFrame(rows, "id int, seq string")
+    old, coded.STRETCH = coded.STRETCH, 50
+    try:
+        for k, step, both in ((4, 3, True), (5, 1, False), (3, 7, True)):
+            got = coded.stepped_kmers(df, ["id"], F.col("seq"), k, step, both).select("id", coded.text_of(k, True).alias("kmer")).collect()
+            want = df.select("id", F.explode(stepped_kmers(F.col("seq"), k, step, both)).alias("kmer")).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    finally:
+        coded.STRETCH = old
