@@ -139,3 +139,16 @@ def test_malformed_fastq(spark, tmp_path):
         p.write_text(bad)
         with pytest.raises(Exception, match="cut off or malformed"):
             fasta.read_fastq(spark, str(p)).collect()
+
+
+def test_windowed_stream_counts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("2024-01-01 00:01:00", "acgta"), ("2024-01-01 00:02:00", "cgt"), ("2024-01-01 00:30:00", "acg")], "t string, seq string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    reads = spark.readStream.schema("t timestamp, seq string").json(str(tmp_path / "in"))
+    q = kmer_stream.windowed_kmer_counts(reads, "t", "seq", 3).writeStream.outputMode("update").format("memory").queryName("wc").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        got = {(r.start.minute, r.kmer): r.cnt for r in spark.table("wc").collect()}
+        assert got == {(0, "acg"): 1, (0, "cgt"): 2, (0, "gta"): 1, (30, "acg"): 1}
+    finally:
+        q.stop()
