@@ -40,7 +40,8 @@ def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     The loss mask covers ``loss_chars`` code points of ``formatted`` from ``loss_start``
     (0-based); -1 and 0 where nothing is trainable. Null texts and roles are empty; a
     null conversation id is a conversation of its own; turns that tie are ordered by role,
-    then text, and repeated rows stay. An empty table gives an empty result. One
+    then text, and repeated rows stay. Texts of any length are whole, up to what one row
+    may hold; columns of other names are not read. An empty table gives an empty result. One
     conversation is one training document, so its turns are brought together.
     """
     s = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))

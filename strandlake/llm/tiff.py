@@ -440,7 +440,8 @@ def tiff_pages(df: DataFrame, content_col: str = "content", keep: list[str] | No
     pixels_sha256, tail_crc32 (of the last 64 bytes), feature and error. A null or
     unreadable content gives one row with ``error`` set and nulls elsewhere. Kept columns
     must not have the names of added ones: such columns are returned with ``src_`` before
-    their name. An empty table gives an empty result.
+    their name. Rows that repeat are read each; a page of any size is one row, and a task
+    holds one file. An empty table gives an empty result.
     """
     ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != content_col] if keep is None else keep
