@@ -65,6 +65,11 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select([F.col(c).alias(f"{c}1") for c in left.columns]).crossJoin(right.select([F.col(c).alias(f"{c}2") for c in right.columns]))
 
 
+def parallel(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt to so many tasks, by a hash of ``keys`` where there are any."""
+    return df.repartition(tasks, *keys)
+
+
 def join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys: inner, left, right, full, semi or anti. A null key matches none."""
     return left.join(right, keys, {"full": "full", "semi": "left_semi", "anti": "left_anti"}.get(how, how))

@@ -709,3 +709,20 @@ def sql_functions(spark, sf_dir):
         canonical_kmer(kmers(substring(seq, 1, 6), 6)[0]) AS first FROM {r} WHERE num_bases(seq) >= 6 AND size(kmers(substring(seq, 1, 6), 6)) > 0""",
         r=r,
     )
+
+
+@query(f"{_READS}, {_windows('r', 12, 'k')} SELECT cnt, count(*) AS n_kmers FROM (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer) GROUP BY cnt")
+def recipe_parameters(spark, sf_dir):
+    """A recipe whose k comes from the session's settings."""
+    spark.conf.set("strandlake.kmer_stats.k", "12")
+    try:
+        args = recipes.parameters(spark, recipes.kmer_stats, reads=reads(spark, sf_dir), seq="seq")
+    finally:
+        spark.conf.unset("strandlake.kmer_stats.k")
+    return recipes.kmer_stats(**args)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def rel_parallel(spark, sf_dir):
+    o = relational.parallel(table(spark, sf_dir, "orders").select("o_custkey"), 6, "o_custkey")
+    return o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import inspect
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.kmers import chunks, kmers, neighbours
@@ -10,6 +13,21 @@ from strandlake.functions.sequences import identity_hash, subsequence
 from strandlake.operators import coded, external, groups, matching, profiles
 
 
+def parameters(spark: SparkSession, recipe: Callable, **given: object) -> dict[str, object]:
+    """Keyword arguments of a recipe: as given, else as the session sets ``strandlake.<recipe>.<name>``, else its defaults.
+
+    Settings are text and take the type of the default.
+    """
+    out = {}
+    for name, p in inspect.signature(recipe).parameters.items():
+        if name in given:
+            out[name] = given[name]
+        elif p.default is not p.empty and (text := spark.conf.get(f"strandlake.{recipe.__name__}.{name}", None)) is not None:
+            kind = type(p.default)
+            out[name] = text.lower() == "true" if kind is bool else text if p.default is None or kind is str else kind(text)
+    return out
+
+
 def _sums(reads: DataFrame, seq: str | Column, k: int, n_too: bool = False) -> DataFrame:
     c = coded.kmer_counts(reads, [], F.col(seq) if isinstance(seq, str) else seq, k, n_too)
     return c.groupBy(*coded.KMER).agg(F.sum("cnt").alias("cnt"))
