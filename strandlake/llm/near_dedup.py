@@ -34,6 +34,8 @@ from strandlake.plans.session import Workspace, dealt_join, hot_keys, ship_packa
 WORDS, SIMILAR = 5, 0.8
 #: Shingles in more than this share of the documents are counted.
 COMMON = 1 / 1024
+#: How much more the rarest shingles weigh than one that every document has.
+DAMP = 1 / 3
 BANDS, ROWS = 14, 4
 KEY_BITS = 44
 TABLE_BITS = 14
@@ -190,16 +192,16 @@ def frequent_shingles(docs: DataFrame, least: float, text_col: str = "text", n:
 class Weights:
     """tf-idf weights: (1 + ln tf) * idf, up to a common factor.
 
-    idf = 1 + ln(documents / df) / ln(1 / share): 1 for a shingle of all documents, 2 for
-    one in ``share`` of them. Rarer ones are not told apart, as only shingles above that
-    share are counted. The logarithm is damped by its span, so that large groups of near
+    idf = 1 + damp * ln(documents / df) / ln(1 / share): 1 for a shingle of all documents,
+    1 + damp for one in ``share`` of them. Rarer ones are not told apart, as only shingles
+    above that share are counted. The logarithm is damped, so that large groups of near
     copies, whose common shingles are frequent too, stay similar while passages that many
     documents share count less. Weights are divided by that of the rarest shingle.
     """
 
-    def __init__(self, key: np.ndarray, df: np.ndarray, total: int, share: float):
+    def __init__(self, key: np.ndarray, df: np.ndarray, total: int, share: float, damp: float = DAMP):
         self.key = key
-        idf = lambda x: 1 + np.log(np.maximum(x, share)) / np.log(share)
+        idf = lambda x: 1 + damp * np.log(np.maximum(x, share)) / np.log(share)
         self.idf = idf(df / max(1, total)) / idf(1 / max(1, total))
 
     def __call__(self, key: np.ndarray, tf: np.ndarray) -> np.ndarray:

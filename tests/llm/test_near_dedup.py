@@ -98,12 +98,12 @@ def test_common_shingles_weigh_less(spark):
     assert [by_df[k] for k in sorted(by_df)] == sorted(by_df.values(), reverse=True)
     total, share = len(rows), near_dedup.COMMON
     for f, v in by_df.items():
-        assert v == pytest.approx((1 + np.log(total / f) / np.log(1 / share)) / (1 + np.log(total) / np.log(1 / share)))
+        assert v == pytest.approx((3 + np.log(total / f) / np.log(1 / share)) / (3 + np.log(total) / np.log(1 / share)))
 
 
 def test_rare_shingles_of_large_tables_are_alike():
     w = near_dedup.Weights(np.array([5], np.uint64), np.array([10_000]), 1_000_000, 0.001)
-    assert w(np.array([5, 6], np.uint64), np.array([1, 1])).tolist() == pytest.approx([(1 + 2 / 3) / 2, 1])
+    assert w(np.array([5, 6], np.uint64), np.array([1, 1])).tolist() == pytest.approx([(3 + 2 / 3) / 4, 1])
 
 
 def test_recall_on_documents(spark):
