@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.textnum import trimmed
 from strandlake.plans.session import Workspace, dealt_join, hot_keys, ship_package
 
 #: Fixed value: the white space that normalisation collapses, as bytes.
@@ -228,12 +229,12 @@ def _owners(trie_bytes: int):
     return run
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 48 << 20) -> DataFrame:
+def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 24 << 20) -> DataFrame:
     """One row per distinct normalised text: len, text_sha256, keep_id, group_size."""
     ship_package(docs.sparkSession)
-    part = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_local(trie_bytes), _PARTIAL)
+    part = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(_local(trie_bytes)), _PARTIAL)
     dealt = part.repartition("len", "hash").sortWithinPartitions("text").select("text", "owner", "n")
-    return dealt.mapInArrow(_owners(trie_bytes), _OWNERS)
+    return dealt.mapInArrow(trimmed(_owners(trie_bytes)), _OWNERS)
 
 
 def text_key(text_col: str) -> Column:
@@ -255,7 +256,7 @@ def first_rows(docs: DataFrame, kept: DataFrame, key: Column, sha: Column) -> Da
     return rows.select(*[F.col("row").getField(c).alias(c) for c in cols])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of ``docs``: the id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. Of rows with equal texts the smallest id stays; a null id

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import first_rows
-from strandlake.llm.textnum import Texts, mix, shingles, slices
+from strandlake.llm.textnum import Texts, mix, shingles, slices, trimmed
 from strandlake.plans.session import Workspace, dealt_join, hot_keys, ship_package
 
 WORDS, SIMILAR = 5, 0.8
@@ -90,7 +90,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def _summaries(bits: int, n: int, rate: float, hold: int = 3 << 20):
+def _summaries(bits: int, n: int, rate: float, hold: int = 1 << 20):
     """Lossy counts of a task's shingles: of each stretch of documents, keys in more than ``rate`` / 2 of them.
 
     A key loses that share of a stretch at most, so half of ``rate`` over all documents.
@@ -180,13 +180,13 @@ def frequent_shingles(docs: DataFrame, least: float, text_col: str = "text", n:
 
     def counted(of, at_least: float) -> tuple[np.ndarray, np.ndarray]:
         dealt = texts.mapInArrow(of, "bucket long, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-        got = dealt.mapInArrow(_frequent(bits, at_least), "key long, df long").toArrow()
+        got = dealt.mapInArrow(trimmed(_frequent(bits, at_least)), "key long, df long").toArrow()
         key, df = got.column("key").to_numpy().astype(np.uint64), got.column("df").to_numpy()
         order = np.argsort(key)
         return key[order], df[order]
 
-    key, df = counted(_summaries(bits, n, least / max(1, total)), least / 2)
-    return counted(_exact(bits, n, key), least) if len(key) else (key, df)
+    key, df = counted(trimmed(_summaries(bits, n, least / max(1, total))), least / 2)
+    return counted(trimmed(_exact(bits, n, key)), least) if len(key) else (key, df)
 
 
 class Weights:
@@ -550,7 +550,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, n: int
     total = d.count()
     key, df = frequent_shingles(d, max(2.0, share * total), "text", n, total)
     weights, sampler = Weights(key, df, total, share), Sampler(bands * rows)
-    signed = work.written(d.select("id", F.sha2("text", 256).alias("sha"), "text").mapInArrow(_signed(weights, sampler, rows, n), _SIGNED), "signed")
+    signed = work.written(d.select("id", F.sha2("text", 256).alias("sha"), "text").mapInArrow(trimmed(_signed(weights, sampler, rows, n)), _SIGNED), "signed")
     order = F.struct(F.col("id").isNull(), "id", "sha")
     nodes = signed.groupBy("fp").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("samples").alias("samples"), F.first("keys").alias("keys"))
     nodes = work.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -566,7 +566,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, n: int
     known = d.where("id is not null").withColumn("sha", F.sha2("text", 256)).join(wanted, ["id", "sha"])
     null = d.where("id is null").select("text", F.sha2("text", 256).alias("sha")).join(wanted.where("id is null").drop("id"), "sha")
     texts = known.select("node", "text").unionByName(null.select("node", "text")).dropDuplicates(["node"])
-    vectors = work.written(texts.mapInArrow(_vectors(weights, n), "node long, vector binary"), "vectors")
+    vectors = work.written(texts.mapInArrow(trimmed(_vectors(weights, n)), "node long, vector binary"), "vectors")
     agree = least_agreement(bands * rows, similar)
 
     # Every node against its buckets' least nodes: by samples first, then by whole vectors.
@@ -581,7 +581,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, n: int
     hot = hot_keys(near.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader", "m", near.count())
     va, vb = vectors.select(F.col("node").alias("leader"), F.col("vector").alias("va")), vectors.select("node", F.col("vector").alias("vb"))
     p = dealt_join(near, va, "leader", hot, "node").join(vb, "node")
-    links = p.select("leader", "node", "va", "vb").mapInArrow(_verified(similar), "a long, b long")
+    links = p.select("leader", "node", "va", "vb").mapInArrow(trimmed(_verified(similar)), "a long, b long")
     labels = join_components(light.select(F.col("node").alias("fp"), F.col("node").alias("label")), links, work)
 
     # Buckets that still hold several components: by samples, in blocks of bounded size.
@@ -590,7 +590,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, n: int
     still = work.written(still, "open")
     open_ = still.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     m = dealt_join(labelled.drop("m"), still, "b", hot_keys(still, "b", "m", open_), "node").join(sampled, "node")
-    promising = _runs(m, _blocks(block)).drop("m").mapInArrow(_promising(agree, similar), "b long, node long, label long").distinct()
+    promising = _runs(m, _blocks(block)).drop("m").mapInArrow(trimmed(_promising(agree, similar)), "b long, node long, label long").distinct()
     # Only nodes with a promising partner get their vectors; blocks are bounded in rows and bytes.
     promising = work.written(promising, "promising")
     some = promising.join(vectors, "node").join(sampled, "node")
@@ -598,7 +598,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, n: int
     size = work.written(size.select("b", "m", F.greatest(_blocks(block), F.ceil(F.col("bytes") / block_bytes)).alias("parts")), "sizes")
     hot = hot_keys(size, "b", "m", size.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
     runs = _runs(dealt_join(some, size, "b", hot, "node").drop("m"), F.col("parts")).drop("parts")
-    old, labels = labels, join_components(labels, runs.mapInArrow(_block_links(agree, similar), "a long, b long"), work)
+    old, labels = labels, join_components(labels, runs.mapInArrow(trimmed(_block_links(agree, similar)), "a long, b long"), work)
 
     named = nodes.select("node", "fp", "o", "n").join(labels.withColumnRenamed("fp", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = work.written(named.groupBy("label").agg(F.min("o").alias("first"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("m")), "best")

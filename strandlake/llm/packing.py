@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.textnum import Texts, slices
+from strandlake.llm.textnum import Texts, slices, trimmed
 from strandlake.plans.session import ship_package
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -187,7 +187,7 @@ class Encoder:
 
     CALL, LONGEST = 2 << 20, 256
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -342,8 +342,9 @@ def _packer(path: str, end_id: int, capacity: int, longest: int, batch: int):
                 yield out()
         close()
         yield out()
+        enc.known.clear()
 
-    return run
+    return trimmed(run)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, longest: int = 1024, batch: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.textnum import Texts, slices
+from strandlake.llm.textnum import Texts, slices, trimmed
 from strandlake.plans.session import ship_package
 
 _CLASSES = {
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str =
     unl = ids.join(every, "k", "left_anti").distinct().orderBy(h, "k").limit(most).withColumn("kind", F.lit(0))
     chosen = pos.unionByName(unl)  # 2 * most rows of two numbers
     texts = docs.select(key.alias("k"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "k").select("kind", "text")
-    rows = texts.mapInArrow(_feature_rows, "kind int, x array<double>").toArrow()
+    rows = texts.mapInArrow(trimmed(_feature_rows), "kind int, x array<double>").toArrow()
     kind = np.array(rows.column("kind").to_pylist(), np.int64)
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort((*x.T[::-1], kind))  # the fit must not depend on the order of tasks
@@ -228,5 +228,5 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, id_col: str = "doc_id
             s = model.scores(features(Texts(b.column(1).to_pylist())))
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["doc", "score"])
 
-    out = d.mapInArrow(run, T.StructType([d.schema["doc"], T.StructField("score", T.DoubleType())]))
+    out = d.mapInArrow(trimmed(run), T.StructType([d.schema["doc"], T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))

@@ -6,6 +6,7 @@ feed. All results are arrays over bytes, words or texts; no loop runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +131,22 @@ def shingles(h: np.ndarray, words_from: np.ndarray, n: int = 5) -> tuple[np.ndar
     return mix(out), at
 
 
+def trimmed(run):
+    """The function of batches, after whose end the worker gives freed memory back, as workers live on between tasks."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return both
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 384 << 10) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches with about ``most`` bytes of text (one longer text is a batch of its own)."""
     for b in batches:
