@@ -16,14 +16,16 @@ import os
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.textnum import Texts, slices, trimmed
+from strandlake.llm.textnum import SPACE, Texts, slices, trimmed
 from strandlake.plans.session import ship_package
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,19 +38,22 @@ def multiway_difference(sizes: list[int] | np.ndarray, k: int) -> tuple[np.ndarr
     Each item starts as a partial partition with one filled part. The two partial
     partitions with the largest spread are merged, the fullest part of one with the
     emptiest of the other, and only differences to the emptiest part are kept for the
-    next choice. Only filled parts are stored, as an ascending list of (sum, tree of
-    items), so that merges of small partitions cost little.
+    next choice. Only filled parts are stored, as an ascending list of sums, each with its
+    tree of items in one number, so that merges of small partitions cost little.
     """
     n = len(sizes)
     part = np.zeros(n, np.int64)
     if k <= 1 or n == 0:
         return part, int(np.sum(sizes))
     left, right = [], []
-    heap = [(-int(s), i, [(int(s), i)]) for i, s in enumerate(sizes)]
+    bits = (2 * n).bit_length()  # a number holds a sum and, below it, a tree
+    low = (1 << bits) - 1
+    heap = [(-int(s), i, [int(s) << bits | i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    count = n
+    count = made = n
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        a = heapq.heappop(heap)[2]
+        b = heap[0][2]
         if len(a) < len(b):
             a, b = b, a
         over = len(a) + len(b) - k
@@ -56,21 +61,22 @@ def multiway_difference(sizes: list[int] | np.ndarray, k: int) -> tuple[np.ndarr
             if len(b) == 1:
                 insort(a, b[0])
             else:
-                a = sorted(a + b)
+                a += b
+                a.sort()
         else:  # the emptiest filled parts of one meet those of the other in opposite order
-            made = []
-            for (x, t), (y, u) in zip(a[:over], reversed(b[:over]), strict=True):
-                left.append(t)
-                right.append(u)
-                made.append((x + y, n + len(left) - 1))
-            a = sorted(a[over:] + b[over:] + made)
-        least = a[0][0] if len(a) == k else 0
-        if least:
-            a = [(x - least, t) for x, t in a]
-        heapq.heappush(heap, (-a[-1][0], count, a))
+            x, y = a[:over], b[over - 1 :: -1]
+            left += [v & low for v in x]
+            right += [v & low for v in y]
+            a = a[over:] + b[over:]
+            a += [(v >> bits) + (w >> bits) << bits | t for t, (v, w) in enumerate(zip(x, y, strict=True), made)]
+            a.sort()
+            made += over
+        if len(a) == k and (least := a[0] >> bits << bits):
+            a = [v - least for v in a]
+        heapq.heapreplace(heap, (-(a[-1] >> bits), count, a))
         count += 1
-    for p, (_, root) in enumerate(heap[0][2]):
-        stack = [root]
+    for p, root in enumerate(heap[0][2]):
+        stack = [root & low]
         while stack:
             x = stack.pop()
             if x < n:
@@ -111,9 +117,19 @@ class WordBpe:
         self.base = max(vocabulary.values()) + 2
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
         keys = np.array([vocabulary[a] * self.base + vocabulary[b] for a, b in pairs], np.int64)
-        made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        self.shift = np.uint64(64 - (4 * len(keys)).bit_length())
+        slots = (1 << 64 - int(self.shift)) + len(keys)
+        self.keys, self.rank = np.full(slots, -1, np.int64), np.full(slots, 1 << 40, np.int64)
+        last = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        key, rank = np.array(list(last), np.int64), np.array(list(last.values()), np.int64)
+        at = self._slot(key)
+        while len(key):  # a key whose slot is taken tries the next one
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[free]
+            got = self.keys[at] == key
+            self.rank[at[got]] = rank[got]
+            key, rank, at = key[~got], rank[~got], at[~got] + 1
         if (self.inner < 0).any() or (self.last < 0).any():
             raise ValueError("a byte has no symbol")
 
@@ -124,10 +140,24 @@ class WordBpe:
         spare = iter(range(256, 512))
         return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.base + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], 1 << 40)
+        at = self._slot(key)
+        there = self.keys[at]
+        rank = np.where(there == key, self.rank[at], 1 << 40)
+        left = np.flatnonzero((there != key) & (there >= 0))
+        at = at[left]
+        while len(left):  # the slot has another key
+            at = at + 1
+            there = self.keys[at]
+            hit = there == key[left]
+            rank[left[hit]] = self.rank[at[hit]]
+            more = ~hit & (there >= 0)
+            left, at = left[more], at[more]
+        return rank
 
     def encode(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words that lie one after another in ``raw``; none is empty."""
@@ -170,19 +200,41 @@ class WordBpe:
         return sym[alive], np.bincount(word[alive], minlength=len(size))
 
 
+def _strings(data: np.ndarray, size: np.ndarray) -> pa.LargeBinaryArray:
+    """Byte strings that lie one after another in ``data``."""
+    upto = np.append(0, np.cumsum(size)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes_of(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(data, size of each) of byte strings, as :func:`_strings` takes them."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2], np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``flat``, one after another; ``size``: of each run there."""
+    count = size[which]
+    first = (np.cumsum(size) - size)[which]
+    upto = np.cumsum(count)
+    return flat[np.repeat(first - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer parts words at white space before anything else, so ids of the pieces
-    between ASCII white space join to the ids of the text. Each distinct piece of a batch
-    is looked up once. Pieces of Latin letters that are not known are folded and merged
-    here, many at a time; every other piece goes to the tokenizer, as do pieces above
-    ``LONGEST`` bytes, whose merges would take a round each here and a heap there; ids are
-    the same. A call takes ``CALL`` bytes (or one longer piece). Known pieces are kept in a
-    table of bounded size.
+    The tokenizer parts words at white space before anything else, so ids of the words
+    between ASCII white space join to the ids of the text. Each distinct word of a batch
+    is looked at once. Words of Latin letters are folded and parted into pieces here; every
+    other word is one piece, as is a word above ``LONGEST`` bytes. Distinct pieces that are
+    not known are merged here, many at a time, if they are Latin, else by the tokenizer
+    (where merges of long words take a heap and not a round each); ids are the same. A
+    call takes words of ``CALL`` bytes (or one longer word). Words and pieces are compared
+    by their bytes. About ``remember`` pieces are known at most: above that, those stay
+    which have been met again since the last time.
     """
 
-    #: Fixed value: how the tokenizer parts a piece.
+    #: Fixed value: how the tokenizer parts a word.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     CALL, LONGEST = 2 << 20, 256
@@ -193,7 +245,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
         self.bpe = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -202,7 +254,7 @@ class Encoder:
         if steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern", {}).get("Regex") == self.PATTERN and spec["model"].get("end_of_word_suffix"):
             self.bpe = WordBpe(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
 
-    #: Bytes of pieces that fold and part alike here and there: ASCII but for apostrophe and less-than sign, and Latin letters of two bytes.
+    #: Bytes of words that fold and part alike here and there: ASCII but for apostrophe and less-than sign, and Latin letters of two bytes.
     _EASY = np.zeros(256, bool)
     _EASY[33:127] = _EASY[0x80:0xC0] = _EASY[0xC3] = True
     _EASY[[0x27, 0x3C]] = False
@@ -211,71 +263,94 @@ class Encoder:
     _KIND[97:123] = _KIND[0x80:0xC0] = _KIND[0xC3] = 1
     _KIND[48:58] = 2
 
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        line = b" ".join(missing).lower()
-        buf = np.frombuffer(line, np.uint8).copy()
-        size = np.fromiter(map(len, missing), np.int64, len(missing))
-        begin = np.cumsum(size + 1) - size - 1
-        second = np.append(False, buf[:-1] == 0xC3)
-        hard = ~self._EASY[buf] | (second & ((buf == 0x97) | (buf == 0xB7))) | ((buf >= 0x80) & (buf < 0xC0) & ~second)
-        buf[second & (buf <= 0x9E)] += 0x20
-        hard[begin[1:] - 1] = False
-        easy = ~np.logical_or.reduceat(hard, begin) & (size <= self.LONGEST) if self.bpe is not None else np.zeros(len(missing), bool)
-        inside = np.repeat(easy, size + 1)[:-1]
-        inside[begin[1:] - 1] = False
-        kind = self._KIND[buf]
+    def forget(self) -> None:
+        """No piece is known any more."""
+        self.known = _strings(np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        self.known_ids, self.known_count, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _parted(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, first byte of each piece, whether it is merged here) of words that lie one after another in ``raw``."""
+        begin = np.cumsum(size) - size
+        low = np.frombuffer(raw.tobytes().lower(), np.uint8).copy()
+        second = np.append(False, low[:-1] == 0xC3)
+        high = (low >= 0x80) & (low < 0xC0)
+        hard = ~self._EASY[low] | (second & ((low == 0x97) | (low == 0xB7))) | (high & ~second)
+        low[second & high & (low <= 0x9E)] += 0x20
+        easy = ~np.logical_or.reduceat(hard, begin) & (size <= self.LONGEST) if self.bpe is not None else np.zeros(len(size), bool)
+        inside = np.repeat(easy, size)
+        kind = self._KIND[low]
         starts = np.append(True, kind[1:] != kind[:-1]) | (kind == 2)
+        starts &= inside
         starts[begin] = True
-        raw, starts = buf[inside], starts[inside]
-        new: dict[bytes, bytes] = {}
-        if len(raw):
-            at = np.flatnonzero(starts)
-            ids, count = self.bpe.encode(raw, np.diff(np.append(at, len(raw))))
-            word = np.repeat(np.arange(int(easy.sum())), size[easy])[at]
-            upto = (np.cumsum(np.bincount(word, weights=count)).astype(np.int64) * 4).tolist()
-            data = ids.astype("<u4").tobytes()
-            new = {w: data[i:j] for w, i, j in zip([missing[i] for i in np.flatnonzero(easy).tolist()], [0, *upto], upto, strict=False)}
-        rest = [missing[i] for i in np.flatnonzero(~easy).tolist()]
+        at = np.flatnonzero(starts)
+        return np.where(inside, low, raw), at, inside[at]
+
+    def _learn(self, pieces: pa.LargeBinaryArray, easy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece); ``easy``: whether it is merged here."""
+        count = np.zeros(len(pieces), np.int64)
+        mine, theirs = np.zeros(0, np.int64), []
+        if easy.any():
+            mine, count[easy] = self.bpe.encode(*_bytes_of(pieces.filter(pa.array(easy))))
+        rest = [x.decode() for x in pieces.filter(pa.array(~easy)).to_pylist()]
         for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        return new
+            theirs += [e.ids for e in self.tokenizer.encode_batch(rest[i : i + 4096], add_special_tokens=False)]
+        count[~easy] = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        here = np.repeat(easy, count)
+        ids = np.empty(len(here), "<u4")
+        ids[here] = mine
+        ids[~here] = np.fromiter(chain.from_iterable(theirs), "<u4", len(here) - len(mine))
+        return ids, count
+
+    def _keep(self, pieces: pa.LargeBinaryArray, ids: np.ndarray, count: np.ndarray) -> None:
+        if len(self.known) > self.remember:
+            if self.met.sum() > self.remember:
+                self.forget()
+            self.known_ids, self.known_count = self.known_ids[np.repeat(self.met, self.known_count)], self.known_count[self.met]
+            self.known = self.known.filter(pa.array(self.met))
+            self.met = np.zeros(len(self.known), bool)
+        short = pa.compute.binary_length(pieces).to_numpy(zero_copy_only=False) <= 64
+        self.known = pa.concat_arrays([self.known, pieces.filter(pa.array(short))])
+        self.known_ids = np.append(self.known_ids, ids[np.repeat(short, count)])
+        self.known_count = np.append(self.known_count, count[short])
+        self.met = np.append(self.met, np.zeros(int(short.sum()), bool))
+
+    def _words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        raw, size = _bytes_of(words)
+        data, at, here = self._parted(raw, size)
+        coded = _strings(data, np.diff(np.append(at, len(data)))).dictionary_encode()
+        pieces, which = coded.dictionary, coded.indices.to_numpy()
+        easy = np.zeros(len(pieces), bool)
+        easy[which] = here
+        place = pa.compute.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = place < 0
+        self.met[place[~new]] = True
+        missing = pieces.filter(pa.array(new))
+        ids, count = self._learn(missing, easy[new])
+        place[new] = len(self.known_count) + np.arange(len(missing))
+        flat, sizes = np.append(self.known_ids, ids), np.append(self.known_count, count)
+        self._keep(missing, ids, count)
+        place = place[which]
+        word = np.searchsorted(np.cumsum(size), at, "right")
+        return _gather(flat, sizes, place), np.bincount(word, weights=sizes[place], minlength=len(size)).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         t = Texts(texts)
         t.words()
         if not len(t.word_start):
             return [b""] * t.n
-        h = t.word_hashes()
-        order = np.argsort(h, kind="stable")
-        fresh = np.append(True, h[order[1:]] != h[order[:-1]])
-        which = np.empty(len(h), np.int64)
-        which[order] = np.cumsum(fresh) - 1
-        lead = order[fresh]
-        data = t.data
-        words = [data[a:b] for a, b in zip(t.word_start[lead].tolist(), t.word_end[lead].tolist(), strict=True)]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        got = list(map(self.known.get, words))
-        if missing := [w for w, g in zip(words, got, strict=True) if g is None]:
-            new = {}
-            upto = np.cumsum(np.fromiter(map(len, missing), np.int64, len(missing)))
-            i = 0
-            while i < len(missing):
-                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + self.CALL, "right"))
-                j = max(i + 1, min(j, i + 100_000))
-                new |= self._learn(missing[i:j])
-                i = j
-            got = [new[w] if g is None else g for w, g in zip(words, got, strict=True)]
-            self.known.update((w, v) for w, v in new.items() if len(w) <= 64)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        flat = np.frombuffer(b"".join(got), "<u4")
-        begin = np.cumsum(size) - size
-        count = size[which]
-        upto = np.append(0, np.cumsum(count))
-        ids = flat[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
-        edge = upto[t.words_from].tolist()
+        coded = _strings(np.frombuffer(t.data.translate(None, SPACE), np.uint8), t.word_end - t.word_start).dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        upto = np.cumsum(pa.compute.binary_length(words).to_numpy())
+        got, i = [], 0
+        while i < len(words):
+            j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + self.CALL, "right"))
+            j = max(i + 1, min(j, i + 100_000))
+            got.append(self._words(words[i:j]))
+            i = j
+        size = np.concatenate([c for _, c in got])
+        ids = _gather(np.concatenate([x for x, _ in got]), size, which)
+        edge = np.append(0, np.cumsum(size[which]))[t.words_from].tolist()
         return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
 
 
@@ -342,7 +417,7 @@ def _packer(path: str, end_id: int, capacity: int, longest: int, batch: int):
                 yield out()
         close()
         yield out()
-        enc.known.clear()
+        enc.forget()
 
     return trimmed(run)
 

@@ -128,3 +128,52 @@ def test_words_about_the_longest_that_are_merged_here(plain):
     letters = lambda n: "".join(np.array(list("abcdeéü1-"))[rng.integers(0, 9, n)])
     words = [letters(n) for n in range(packing.Encoder.LONGEST - 60, packing.Encoder.LONGEST + 8)]
     assert packing.Encoder(PATH).encode([" ".join(words), *words]) == [plain(" ".join(words)), *map(plain, words)]
+
+
+def merged(enc, texts):
+    """The ids of each text, and how many pieces its call had merged."""
+    counts, plain_encode = [], enc.bpe.encode
+    enc.bpe.encode = lambda raw, size: (counts.append(len(size)), plain_encode(raw, size))[1]
+    out = []
+    for t in texts:
+        counts.clear()
+        out.append((enc.encode([t])[0], sum(counts)))
+    return out
+
+
+def test_words_that_differ_in_case_and_signs_are_merged_once(plain):
+    names = ["".join(c) for c in np.array(list("abcdeé"))[np.random.default_rng(6).integers(0, 6, (400, 9))]]
+    forms = [str, str.title, str.upper, "{}.".format, "({},".format, "{}-{}".format(*names[:2]).__add__]
+    texts = [" ".join(map(f, names)) for f in forms]
+    got = merged(packing.Encoder(PATH), texts)
+    assert [g for g, _ in got] == [plain(t) for t in texts]
+    assert sum(n for _, n in got) < 2.2 * len(names)  # the last form makes new letters
+
+
+def test_words_that_come_again_stay_known(plain):
+    rng = np.random.default_rng(7)
+    word = lambda n: ["".join(c) for c in np.array(list("abcdefgh"))[rng.integers(0, 8, (n, 12))]]
+    often = word(100)
+    texts = [" ".join(often + word(60)) for _ in range(30)]
+    enc = packing.Encoder(PATH, remember=200)
+    got = merged(enc, texts)
+    assert [g for g, _ in got] == [plain(t) for t in texts]
+    assert [n for _, n in got] == [160] + [60] * 29
+    assert len(enc.known) == len(enc.known_count) == len(enc.met) <= 360 and enc.known_count.sum() == len(enc.known_ids)
+
+
+def test_words_of_one_hash_keep_their_ids(plain):
+    bit = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    a, b = ("".join(x[i] for i in bit) for x in ("xq", "qx"))  # equal under any odd base modulo 2**64
+    assert packing.Encoder(PATH).encode([f"{a} {b}"]) == [plain(f"{a} {b}")]
+
+
+def test_ranks_of_pairs():
+    chars = packing.WordBpe._alphabet()
+    vocabulary = {c: i for i, c in enumerate(chars + [c + "$" for c in chars])}
+    pairs = [(a, b) for a in chars[64:96] for b in chars]
+    vocabulary |= {a + b: len(vocabulary) + i for i, (a, b) in enumerate(pairs)}
+    bpe = packing.WordBpe(vocabulary, pairs, "$")
+    a, b = np.divmod(np.arange(512 * 512), 512)
+    want = {(vocabulary[x], vocabulary[y]): i for i, (x, y) in enumerate(pairs)}
+    assert bpe._ranks(a, b).tolist() == [want.get(p, 1 << 40) for p in zip(a.tolist(), b.tolist(), strict=True)]
