@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.plans.session import tasks_for
+
+#: Bytes of input for each task that makes pairs.
+EACH = 4 << 20
+
 
 def n50(df: DataFrame, size: str | Column, limit: int | None = None) -> DataFrame:
     """One row ``n50``: the largest size at which the running sum, from the largest down, exceeds ``limit``.
@@ -63,14 +68,15 @@ def value_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, a, b with a < b for all unordered pairs of unequal values of a key, repeats kept.
 
     A null among a key's values leaves the key without pairs. Pairs are counted from
-    distinct values and their multiplicities, then repeated.
+    distinct values and their multiplicities, then repeated. Rows are dealt once, to as many
+    tasks as their size asks for, so what a task sorts does not grow with the input; the
+    distinct values of a key, far fewer than its pairs, are one row.
     """
-    d = df.select(F.col(key).alias("key"), F.col(value).alias("v"))
-    bad = d.where("v is null").select("key").distinct()
-    c = d.join(bad, "key", "left_anti").groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
-    a, b = c.select("key", F.col("v").alias("a"), F.col("n").alias("na")), c.select("key", F.col("v").alias("b"), F.col("n").alias("nb"))
-    p = a.join(b, "key").where("a < b")
-    return p.select("key", "a", "b", F.explode(F.array_repeat(F.lit(0), (F.col("na") * F.col("nb")).cast("int"))).alias("_")).select("key", "a", "b")
+    d = df.select(F.col(key).alias("key"), F.col(value).alias("v")).where("key is not null").repartition(tasks_for(df, EACH), "key")
+    c = d.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    c = c.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("all"), F.bool_or(F.col("v").isNull()).alias("bad")).where(~F.col("bad") & (F.size("all") > 1))
+    p = c.select("key", "all", F.posexplode("all").alias("i", "a")).select("key", "a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    return p.select("key", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.explode(F.array_repeat(F.lit(0), (F.col("a.n") * F.col("b.n")).cast("int"))).alias("_")).select("key", "a", "b")
 
 
 def joined_values(df: DataFrame, key: str, value: str, sep: str = "\t") -> DataFrame:

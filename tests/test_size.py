@@ -69,3 +69,17 @@ def test_number_of_tasks_follows_the_input(spark, sf):
     assert size > 200 and session.tasks_for(df.union(df), 1000) >= 2 * size - 1
     assert session.tasks_for(spark.createDataFrame([(1,)], "a int"), 1) >= 4
     assert recipes.FEW == 12
+
+
+def test_pairs_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """Before, a task's rows grew with the input, as the session's number of tasks held whatever the size."""
+    from strandlake.operators import groups
+
+    monkeypatch.setattr(groups, "EACH", 500)
+    rows = [(k, v) for k in range(40) for v in (3, 1, 2, 2, k)] + [(50, None), (50, 1), (50, 2), (None, 1), (None, 2), (60, 1), (61, 4), (61, 4)]
+    spark.createDataFrame(rows, "k int, v int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = Counter((k, a, b) for k in range(40) for a in (3, 1, 2, 2, k) for b in (3, 1, 2, 2, k) if a < b)
+    got = groups.value_pairs(df, "k", "v")
+    assert Counter(map(tuple, got.collect())) == want
+    assert got.rdd.getNumPartitions() == session.tasks_for(df, 500) > 4
