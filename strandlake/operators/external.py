@@ -13,12 +13,15 @@ import shlex
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
-from itertools import islice
+from hashlib import sha256
+from itertools import chain, groupby, islice
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +47,12 @@ class Tool:
 
     def run(self, files: dict[str, str | Iterator[str]], **values: object) -> str:
         """Write ``files``, run the commands and return the result; ``values`` fill the template too."""
+        with self.result(files, **values) as path:
+            return path.read_text() if path else ""
+
+    @contextmanager
+    def result(self, files: dict[str, str | Iterator[str]], **values: object) -> Iterator[Path | None]:
+        """As :meth:`run`, but the file with the result, so that it need not be held in memory; None if it may be missing and is."""
         with tempfile.TemporaryDirectory(dir=os.path.realpath(tempfile.gettempdir())) as tmp:  # the programs run elsewhere
             names = {"dir": tmp, **{k: str(v) for k, v in values.items()}}
             for name, text in files.items():
@@ -51,24 +60,22 @@ class Tool:
                 with path.open("w") as f:
                     f.writelines([text] if isinstance(text, str) else text)
                 names[name] = str(path)
-            out = ""
+            said = Path(tmp, "_said")
             for c in [*self.setup, self.command]:
                 words = [w.format(**names) for w in shlex.split(c)]
                 try:
-                    done = subprocess.run(words, cwd=tmp, capture_output=True, text=True, timeout=self.timeout)
+                    with said.open("w") as o:
+                        done = subprocess.run(words, cwd=tmp, stdout=o, stderr=subprocess.PIPE, text=True, timeout=self.timeout)
                 except (OSError, subprocess.TimeoutExpired) as e:
                     raise ToolError(f"{words[0]}: {e}") from e
                 if done.returncode:
                     raise ToolError(f"{words[0]} ended with {done.returncode}: {done.stderr[-500:]}")
-                out = done.stdout
-            if self.output is None:
-                return out
-            path = Path(tmp, self.output.format(**names))
+            path = said if self.output is None else Path(tmp, self.output.format(**names))
             if not path.exists():
-                if self.missing_ok:
-                    return ""
-                raise ToolError(f"{self.output} is missing")
-            return path.read_text()
+                if not self.missing_ok:
+                    raise ToolError(f"{self.output} is missing")
+                path = None
+            yield path
 
 
 #: The usual programs; flags can be changed by building another Tool.
@@ -187,19 +194,78 @@ def grouped_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("geneid").agg(F.array_sort(F.collect_list(F.struct("id", "d", "seq"))).alias("reads"))
 
 
-def _grouped(df: DataFrame, key: str, work: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+def _contigs(path: Path | None) -> Iterator[tuple[str, str, int]]:
+    """(name, sequence, place in the file) of a FASTA file, one at a time, as :func:`from_fasta` has them."""
+    if path is None:
+        return
+    name, body, at, begin = None, [], 0, 0
+    with path.open("rb") as f:
+        for line in f:
+            if line.startswith(b">"):
+                if name is not None:
+                    yield name, "".join(body), begin
+                name, body, begin = (line[1:].decode().split() or [""])[0], [], at
+            elif name is not None:
+                body += line.decode().split()
+            at += len(line)
+    if name is not None:
+        yield name, "".join(body), begin
+
+
+def _longest(path: Path | None) -> list[tuple[str, str]]:
+    """The longest contig, the first of equal ones, if there is any."""
+    best = max(_contigs(path), key=lambda x: len(x[1]), default=None)
+    return [best[:2]] if best else []
+
+
+def _fasta_lines(rows: Iterator[tuple]) -> Iterator[str]:
+    return (f">{i}/{d}\n{s}\n" if d is not None and str(d) not in ("", "0", "nan") else f">{i}\n{s}\n" for i, d, s in rows)
+
+
+def _grouped(df: DataFrame, key: str, work: Callable[[str, Iterator[tuple]], Iterator[tuple]], schema: str, own: bool = False) -> DataFrame:
+    """Rows that ``work`` makes of a group's name and its (id, d, seq), which it takes as they come.
+
+    Groups are sorted by Spark, which spills, so that a group is never held in memory.
+    ``own``: the reads come by id, d and sequence, those whose id is the group first.
+    """
     ship_package(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
-    return df.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame(work(pdf), columns=names), schema)
+    d = df.select(F.col(key).alias("key"), *[F.col(c) for c in ("id", "d", "seq")])
+    order: list[Column] = [F.col("key")]
+    if own:
+        order += [(~F.col("id").cast("string").eqNullSafe(F.col("key").cast("string"))), *[F.col(c).asc_nulls_last() for c in ("id", "d", "seq")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield tuple(c[i].as_py() for c in b.columns)
+
+        made, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*made, strict=True)], names=names)
+
+        for k, group in groupby(rows(), lambda r: r[0] if r[0] == r[0] else "nan"):
+            for r in work(str(k), (x[1:] for x in group)):
+                made.append(r)
+                size += sum(map(len, r))
+                if size >= 1 << 22:
+                    yield batch()
+                    made, size = [], 0
+        if made:
+            yield batch()
+
+    return d.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def assemble_longest(reads: DataFrame, key: str, tool: Tool) -> DataFrame:
     """group, contig, seq: the longest contig of each group's assembly; a group without contigs has no row."""
 
-    def work(pdf: pd.DataFrame) -> list[tuple]:
-        found = from_fasta(tool.run({"reads": to_fasta(_named(pdf))}))
-        best = max(found, key=lambda x: len(x[1]), default=None)
-        return [(str(pdf[key].iloc[0]), *best)] if best else []
+    def work(g: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        with tool.result({"reads": _fasta_lines(rows)}) as path:
+            for c in _longest(path):
+                yield g, *c
 
     return _grouped(reads, key, work, "group string, contig string, seq string")
 
@@ -207,11 +273,24 @@ def assemble_longest(reads: DataFrame, key: str, tool: Tool) -> DataFrame:
 def assemble_improved(reads: DataFrame, key: str, tool: Tool = TOOLS["newbler"]) -> DataFrame:
     """Contigs longer than the longest read; without any, the longest contig."""
 
-    def work(pdf: pd.DataFrame) -> list[tuple]:
-        g, found = str(pdf[key].iloc[0]), from_fasta(tool.run({"reads": to_fasta(_named(pdf))}))
-        longest = max(map(len, pdf["seq"]), default=0)
-        better = [(g, *c) for c in found if len(c[1]) > longest]
-        return better or [(g, *c) for c in [max(found, key=lambda x: len(x[1]), default=None)] if c]
+    def work(g: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        longest = 0
+
+        def seen() -> Iterator[tuple]:
+            nonlocal longest
+            for r in rows:
+                longest = max(longest, len(r[2] or ""))
+                yield r
+
+        with tool.result({"reads": _fasta_lines(seen())}) as path:
+            better = False
+            for name, s, _ in _contigs(path):
+                if len(s) > longest:
+                    better = True
+                    yield g, name, s
+            if not better:
+                for c in _longest(path):
+                    yield g, *c
 
     return _grouped(reads, key, work, "group string, contig string, seq string")
 
@@ -223,29 +302,59 @@ def assemble_by_key(reads: DataFrame, key: str, tool: str | Tool = "velvet", kee
     group is its seed; ``seeds`` may give others by group. ``drop_identical``: equal reads
     once; ``limit``: only the first so many reads are assembled, the seed beside them.
     With a seed only longer contigs are returned. ``header`` is ``>group-contig
-    numberOfReadsInput=n``, with the limit where it has left reads out.
+    numberOfReadsInput=n``, with the limit where it has left reads out. Of a group's reads
+    and contigs only hashes (with ``drop_identical``) and places in a file are held.
     """
     t = configured(reads.sparkSession, tool) if isinstance(tool, str) else tool
 
-    def work(pdf: pd.DataFrame) -> list[tuple]:
-        g = str(pdf[key].iloc[0])
-        n = len(pdf)
-        pdf = pdf.sort_values(["id", "d", "seq"], kind="stable", na_position="last")
-        own = pdf["id"].astype(str) == g
-        seed = (seeds or {}).get(g, pdf.loc[own, "seq"].iloc[0] if own.any() else None)
-        first, rest = pdf[own].head(1), pdf[~own]
-        if drop_identical:
-            rest = rest[~rest["seq"].isin(first["seq"])].drop_duplicates("seq")
-        if limit is not None:
-            rest = rest.head(max(0, limit - len(first)))
-        pdf = pd.concat([first, rest])
-        found = sorted(from_fasta(t.run({"reads": to_fasta(_named(pdf))})), key=lambda x: (-len(x[1]), x[0])) if len(pdf) else []
-        if seed is not None:
-            found = [c for c in found if len(c[1]) > len(seed)]
-        left = f"limit={limit}" if limit is not None and limit < n else ""
-        return [(g, *c, f">{g}-{c[0]} numberOfReadsInput={n} {left}") for c in (found[:1] if keep_top else found)]
-
-    return _grouped(reads, key, work, "group string, contig string, seq string, header string")
+    def work(g: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        n, seed = 0, (seeds or {}).get(g)
+
+        def chosen() -> Iterator[tuple]:
+            nonlocal n, seed
+            given, own, known = 0, False, set()
+            for r in rows:
+                n += 1
+                if str(r[0]) == g:
+                    if own:
+                        continue
+                    own = True
+                    seed = (seeds or {}).get(g, r[2])
+                elif limit is not None and given >= limit:
+                    continue
+                if drop_identical:
+                    h = None if r[2] is None else sha256(r[2].encode("utf-8", "surrogatepass")).digest()
+                    if h in known:
+                        continue
+                    known.add(h)
+                given += 1
+                yield r
+
+        taken = chosen()
+        head = next(taken, None)
+        if head is None:
+            return
+        with t.result({"reads": _fasta_lines(chain([head], taken))}) as path:
+            short = -1 if seed is None else len(seed)
+            found = ((-len(s), name, at) for name, s, at in _contigs(path) if len(s) > short)
+            places = [x] if keep_top and (x := min(found, default=None)) else sorted(found)
+            left = f"limit={limit}" if limit is not None and limit < n else ""
+            for _, name, at in places:
+                yield g, name, _contig_at(path, at), f">{g}-{name} numberOfReadsInput={n} {left}"
+
+    return _grouped(reads, key, work, "group string, contig string, seq string, header string", own=True)
+
+
+def _contig_at(path: Path, at: int) -> str:
+    with path.open("rb") as f:
+        f.seek(at)
+        f.readline()
+        body = []
+        for line in f:
+            if line.startswith(b">"):
+                break
+            body += line.decode().split()
+        return "".join(body)
 
 
 def extend_contig(contigs: DataFrame, reads: DataFrame, key: str, tool: Tool = TOOLS["cap3"]) -> DataFrame:

@@ -82,4 +82,24 @@ def test_pairs_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
     want = Counter((k, a, b) for k in range(40) for a in (3, 1, 2, 2, k) for b in (3, 1, 2, 2, k) if a < b)
     got = groups.value_pairs(df, "k", "v")
     assert Counter(map(tuple, got.collect())) == want
-    assert got.rdd.getNumPartitions() == session.tasks_for(df, 500) > 4
+    got.collect()
+    assert session.tasks_for(df, 500) > 4 and "hashpartitioning(key" in (plan := got._jdf.queryExecution().toString()) and f", {session.tasks_for(df, 500)}), REPARTITION_BY_NUM" in plan
+
+
+def test_groups_stream_through_their_program(spark, monkeypatch):
+    """Before, a group's reads and its program's whole output were held in pandas and in strings."""
+    from strandlake.operators import external
+
+    monkeypatch.setattr(external.Tool, "run", None)
+    monkeypatch.setattr(external, "from_fasta", None)
+    monkeypatch.setattr(external, "to_fasta", None)
+    same = external.Tool("cat {reads}")
+    rows = [("g", "g", 0, "acg"), ("g", "b", 1, "acgta"), ("g", "b", 2, "acgta"), ("g", "a", None, "acgtacg"), (None, "x", 0, "aa"), ("h", "y", 0, ""), ("h", "z", 0, "tt")]
+    df = spark.createDataFrame(rows, "k string, id string, d int, seq string")
+    got = lambda x: sorted(map(tuple, x.collect()))
+    assert got(external.assemble_longest(df, "k", same)) == [("None", "x", "aa"), ("g", "a", "acgtacg"), ("h", "z", "tt")]
+    assert got(external.assemble_improved(df, "k", same)) == got(external.assemble_longest(df, "k", same))
+    assert [(r.contig, r.header) for r in external.assemble_by_key(df.where("k = 'g'"), "k", same, drop_identical=True).collect()] == [("a", ">g-a numberOfReadsInput=4 "), ("b/1", ">g-b/1 numberOfReadsInput=4 ")]
+    assert [r.contig for r in external.assemble_by_key(df.where("k = 'h'"), "k", same).collect()] == ["z", "y"]
+    assert [(r.contig, r.header) for r in external.assemble_by_key(df.where("k = 'g'"), "k", same, limit=2).collect()] == [("a", ">g-a numberOfReadsInput=4 limit=2")]
+    assert [r.contig for r in external.assemble_by_key(df.where("k = 'g'"), "k", same, keep_top=True).collect()] == ["a"]
