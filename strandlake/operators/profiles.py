@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import canonical
 from strandlake.operators import coded
-from strandlake.plans.session import ship_package
+from strandlake.plans.session import ship_package, tasks_for
+
+#: The k up to which canonical k-mers are looked up, and the bytes of input for each task that adds them up.
+SHORT, EACH = 6, 8 << 20
 
 
 def counts(df: DataFrame, key: str, seq: str | Column, k: int, canon: bool = False) -> DataFrame:
     """id, kmer, cnt for each distinct k-mer (or canonical k-mer) of each id."""
     seq = F.col(seq) if isinstance(seq, str) else seq
+    if canon and k <= SHORT:
+        # Dealt by id once, which serves what is done for each id afterwards too.
+        c = coded.kmer_counts(df.select(F.col(key).alias("id"), seq.alias("seq")), ["id"], F.col("seq"), k, canon=True)
+        c = c.select("id", "lo", "cnt").repartition(tasks_for(df, EACH), "id").groupBy("id", "lo").agg(F.sum("cnt").alias("cnt"))
+        return c.select("id", F.get(F.lit(coded.short_texts(k)), F.col("lo").cast("int")).alias("kmer"), "cnt")
     c = coded.kmer_counts(df.select(F.col(key).alias("id"), seq.alias("seq")), ["id"], F.col("seq"), k)
     c = c.groupBy("id", *coded.KMER).agg(F.sum("cnt").alias("cnt")).select("id", coded.text_of(k).alias("kmer"), "cnt")
     if canon:

@@ -75,7 +75,7 @@ def test_pairs_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
     """Before, a task's rows grew with the input, as the session's number of tasks held whatever the size."""
     from strandlake.operators import groups
 
-    monkeypatch.setattr(groups, "EACH", 500)
+    monkeypatch.setattr(groups, "EACH", 50)
     rows = [(k, v) for k in range(40) for v in (3, 1, 2, 2, k)] + [(50, None), (50, 1), (50, 2), (None, 1), (None, 2), (60, 1), (61, 4), (61, 4)]
     spark.createDataFrame(rows, "k int, v int").coalesce(1).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
@@ -83,7 +83,7 @@ def test_pairs_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
     got = groups.value_pairs(df, "k", "v")
     assert Counter(map(tuple, got.collect())) == want
     got.collect()
-    assert session.tasks_for(df, 500) > 4 and "hashpartitioning(key" in (plan := got._jdf.queryExecution().toString()) and f", {session.tasks_for(df, 500)}), REPARTITION_BY_NUM" in plan
+    assert session.tasks_for(df, 50) > 4 and "hashpartitioning(key" in (plan := got._jdf.queryExecution().toString()) and f", {session.tasks_for(df, 50)}), REPARTITION_BY_NUM" in plan
 
 
 def test_groups_stream_through_their_program(spark, monkeypatch):
@@ -103,3 +103,22 @@ def test_groups_stream_through_their_program(spark, monkeypatch):
     assert [r.contig for r in external.assemble_by_key(df.where("k = 'h'"), "k", same).collect()] == ["z", "y"]
     assert [(r.contig, r.header) for r in external.assemble_by_key(df.where("k = 'g'"), "k", same, limit=2).collect()] == [("a", ">g-a numberOfReadsInput=4 limit=2")]
     assert [r.contig for r in external.assemble_by_key(df.where("k = 'g'"), "k", same, keep_top=True).collect()] == ["a"]
+
+
+def test_profiles_are_dealt_once(spark):
+    """Before, k-mers of both strands were rows of three shuffles."""
+    from strandlake.operators import profiles
+
+    df = spark.createDataFrame([(i % 9 or None, x) for i, x in enumerate(ODD)], "id int, seq string")
+    for k in (1, 4, 6):
+        want = Counter()
+        for i, x in enumerate(ODD):
+            for w, n in windows([x], k).items():
+                if set(w) <= set("atgc"):
+                    want[i % 9 or None, min(w, w[::-1].translate(str.maketrans("atgc", "tacg")))] += n
+        got = profiles.profile(df, "id", "seq", k)
+        assert {(r.id, r.kmer): r.cnt for r in got.collect()} == want
+        nested = profiles.nested_profile(df, "id", "seq", k)
+        assert {(r.id, x.kmer) for r in nested.collect() for x in r.profile} == set(want)
+        nested.explain()
+        assert nested._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
