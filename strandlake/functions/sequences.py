@@ -1,10 +1,14 @@
 """Column functions on nucleotide strings: lower case over the alphabet a, t, g, c, n.
 
-Everything here is built from Spark's own expressions, so that it stays in generated code.
+All but the 64-bit hash is built from Spark's own expressions, so that it stays in generated code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +62,30 @@ def _characters(s: Column) -> Column:
 def hash_long(s: Column) -> Column:
     """h = 31 h + c over 64 bits with wrap-around, from a fixed start; null gives 0, as the empty string does.
 
-    The halves of h are carried apart, so that no step overflows.
+    Characters count by their code points, in blocks that are one product of arrays each.
     """
-    low = F.lit(0xFFFFFFFF)
+    return _hash_rows()(s)
+
+
+def hash_of(text: str | None, block: int = 1 << 12) -> int:
+    """The hash of :func:`hash_long` of one string."""
+    if not text:
+        return 0
+    h, most = HASH_START, (1 << 64) - 1
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(min(block, len(x)) - 1, 31, np.uint64)))[::-1]
+    for i in range(0, len(x), block):
+        part = x[i : i + block]
+        h = (h * pow(31, len(part), 1 << 64) + int(np.dot(part, powers[len(powers) - len(part) :]))) & most
+    return h - (1 << 64) if h >> 63 else h
+
 
-    def step(h: Column, c: Column) -> Column:
-        lo = h.bitwiseAND(low) * 31 + F.ascii(c).cast("long")
-        hi = F.shiftrightunsigned(h, 32) * 31 + F.shiftright(lo, 32)
-        return F.shiftleft(hi, 32).bitwiseOR(lo.bitwiseAND(low))
+def _hash_rows() -> Callable[[Column], Column]:
+    @F.pandas_udf("long")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([hash_of(x) for x in values], dtype="int64")
 
-    return F.when(s.isNull() | (s == ""), F.lit(0).cast("long")).otherwise(F.aggregate(_characters(s), F.lit(HASH_START).cast("long"), step))
+    return run
 
 
 def string_hash(s: Column) -> Column:

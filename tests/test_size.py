@@ -122,3 +122,15 @@ def test_profiles_are_dealt_once(spark):
         assert {(r.id, x.kmer) for r in nested.collect() for x in r.profile} == set(want)
         nested.explain()
         assert nested._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_hash_in_blocks():
+    """Before, each character was a step of an interpreted expression."""
+    from strandlake.functions.sequences import HASH_START, hash_of
+
+    for text in [*ODD, "日x" * 50, "\U0001f600a"]:
+        h = HASH_START
+        for c in text or "":
+            h = (h * 31 + ord(c)) % 2**64
+        want = (h - 2**64 if h >= 2**63 else h) if text else 0
+        assert hash_of(text) == hash_of(text, 7) == want
